@@ -49,6 +49,7 @@ HISTORY_LENGTH = 20
 SCHEDULE_DISABLED = "disabled"
 SCHEDULE_DAILY = "daily"
 SCHEDULE_VALUES = ["disabled", "daily"]
+SETTING_KEY_STRIP = "[^a-z0-9_\\-]"
 KEEP_DISABLED = 0
 KEEP_COUNT_PATTERN = r"^\+?[1-9][0-9]*$|^0$"
 MAX_KEEP = 9223372036854775807
@@ -82,4 +83,4 @@ ERR_DENIED_CODE = "AccessDenied"
 ERR_BUCKET_CODE = "NoSuchBucket"
 
 # Size units of a human-readable byte count, powers of 1024.
-SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
+SIZE_UNITS = ["B", "KB", "MB", "GB", "TB", "PB", "EB"]

@@ -55,9 +55,10 @@ def is_numeric_text(c) -> Column:
 
 
 def numeric_literal(c) -> Column:
-    """Text passed through unquoted; text that is not a number is an error."""
+    """Text passed through unquoted; text that is not a number is an error.
+    Null stays null (``or_null`` renders it)."""
     text = _col(c).cast("string")
-    return F.when(text.rlike(K.NUMERIC_PATTERN), text).otherwise(
+    return F.when(text.isNull(), text).when(text.rlike(K.NUMERIC_PATTERN), text).otherwise(
         F.raise_error(F.lit("Invalid numeric database value.")).cast("string"))
 
 
