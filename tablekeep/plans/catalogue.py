@@ -871,19 +871,19 @@ def q_overlap_suppress(spark, d):
     _prep(spark)
     from ..streaming.overlap import suppress_overlaps
     ev = load(spark, d, "events")
-    return suppress_overlaps(ev, "user_id", "ts", "event_id", K.LOCK_SECONDS).select("user_id", "event_id")
+    return suppress_overlaps(ev, "event_type", "ts", "event_id", K.LOCK_SECONDS).select("event_type", "event_id")
 
 
 SQL_OVERLAP_SUPPRESS = f"""
 WITH RECURSIVE
 nx AS (SELECT a.event_id, (SELECT arg_min(b.event_id, b.ts) FROM events b
-                            WHERE b.user_id = a.user_id AND b.ts >= a.ts + INTERVAL {K.LOCK_SECONDS} SECOND) AS next_id
+                            WHERE b.event_type = a.event_type AND b.ts >= a.ts + INTERVAL {K.LOCK_SECONDS} SECOND) AS next_id
        FROM events a),
-heads AS (SELECT arg_min(event_id, ts) AS event_id FROM events GROUP BY user_id),
+heads AS (SELECT arg_min(event_id, ts) AS event_id FROM events GROUP BY event_type),
 chain(event_id) AS (SELECT event_id FROM heads
                     UNION ALL SELECT nx.next_id FROM chain JOIN nx ON nx.event_id = chain.event_id
                     WHERE nx.next_id IS NOT NULL)
-SELECT user_id, event_id FROM events WHERE event_id IN (SELECT event_id FROM chain)
+SELECT event_type, event_id FROM events WHERE event_id IN (SELECT event_id FROM chain)
 """
 
 
@@ -900,8 +900,8 @@ def q_overlap_suppress_stream(spark, d):
     from ..streaming.overlap import suppress_overlaps_stream
     ship_package(spark)
     out, ck = scratch_path(spark, "overlap-out"), scratch_path(spark, "overlap-ck")
-    acc = suppress_overlaps_stream(_file_stream(spark, d, "events"), "user_id", "ts", "event_id", K.LOCK_SECONDS)
-    q = (acc.select("user_id", "event_id").writeStream.format("parquet").option("path", out)
+    acc = suppress_overlaps_stream(_file_stream(spark, d, "events"), "event_type", "ts", "event_id", K.LOCK_SECONDS)
+    q = (acc.select("event_type", "event_id").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
