@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.literals import EXACT, Dialect, quote_identifier_text, row_tuple
+from ..session import spread
 from . import ranking
 
 
@@ -127,5 +128,5 @@ def insert_records_streaming(df: DataFrame, table: str, size: int = K.DEFAULT_CH
     if size < 1:
         raise ValueError("chunk size must be at least 1")
     header = insert_header(table, df.schema)
-    tuples = df.select(row_tuple(df.schema, dialect).alias("tuple"))
+    tuples = spread(df).select(row_tuple(df.schema, dialect).alias("tuple"))
     return tuples.mapInArrow(_chunk_batches(size, header + "\n", ";\n"), "value string")

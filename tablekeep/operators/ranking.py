@@ -5,8 +5,9 @@ one task, and with no ``g`` it puts the whole table in one task. Here the rows
 are cut into range buckets of the sort order first, so a hot group is spread
 over many buckets:
 
-1. bounds: a sample of the sort key, sorted by Spark, every k-th value kept
-   (the sample is bounded by ``buckets * SAMPLE_PER_BUCKET`` rows);
+1. bounds: a one-pass uniform sample of the sort key (smallest random
+   tags), sorted by Spark, every k-th value kept (bounded by
+   ``buckets * SAMPLE_PER_BUCKET`` rows);
 2. bucket = a balanced CASE tree over the bounds: a pure function of the row,
    so every re-run of a task puts a row in the same bucket (no checkpoint
    needed, no dependence on a shuffle's sampling);
@@ -19,13 +20,11 @@ over many buckets:
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
-TARGET_ROWS_PER_BUCKET = 2_000_000
 
 _RB = "__rb"
 _LRN = "__lrn"
@@ -33,10 +32,10 @@ _OFF = "__off"
 _CNT = "__cnt"
 
 
-def _default_buckets(spark, n_rows: int) -> int:
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_size = math.ceil(n_rows / TARGET_ROWS_PER_BUCKET)
-    return max(1, max(parallel, by_size))
+def _default_buckets(spark) -> int:
+    """As many buckets as shuffle partitions: the setting a cluster sizes to
+    its data volume."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
@@ -53,18 +52,18 @@ def _literal_struct(values, fields) -> Column:
     return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, fields)])
 
 
-def range_bucket(df: DataFrame, sort_cols: list[str], buckets: int, seed: int = 17,
-                 n_rows: int | None = None) -> tuple[DataFrame, int]:
+def range_bucket(df: DataFrame, sort_cols: list[str], buckets: int, seed: int = 17) -> tuple[DataFrame, int]:
     """Add ``__rb``: a deterministic range bucket of ``struct(sort_cols)``
-    (ascending). Returns the frame and the number of buckets used."""
+    (ascending). Returns the frame and the number of buckets used.
+
+    The bounds come from a uniform sample taken in one pass: the rows with
+    the smallest random tags (a per-task top-K merged once, so the sample is
+    bounded by ``buckets * SAMPLE_PER_BUCKET`` rows whatever the input size)."""
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(sort_cols)])
-    n_rows = df.count() if n_rows is None else n_rows
-    if n_rows == 0 or buckets <= 1:
+    if buckets <= 1:
         return df.withColumn(_RB, F.lit(0)), 1
-    fraction = min(1.0, buckets * SAMPLE_PER_BUCKET / n_rows)
-    sample = df.select(key.alias("k"))
-    if fraction < 1.0:
-        sample = sample.sample(False, fraction, seed)
+    k = buckets * SAMPLE_PER_BUCKET
+    sample = df.select(key.alias("k"), F.rand(seed).alias("r")).orderBy("r").limit(k)
     rows = [r[0] for r in sample.orderBy("k").collect()]
     if not rows:
         return df.withColumn(_RB, F.lit(0)), 1
@@ -100,13 +99,12 @@ def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str,
     nulls last, ascending nulls first, as Spark does by default.
     """
     spark = df.sparkSession
-    n_rows = df.count()
-    buckets = buckets or _default_buckets(spark, n_rows)
+    buckets = buckets or _default_buckets(spark)
     prefix, desc = _direction_prefix(order_by)
     # Any order of the groups works as long as each group's rows are
     # contiguous, so the groups take the direction of the sort prefix.
     bucket_cols = list(partition_by) + prefix
-    bucketed, n = range_bucket(df, bucket_cols, buckets, n_rows=n_rows)
+    bucketed, n = range_bucket(df, bucket_cols, buckets)
     if desc:
         bucketed = bucketed.withColumn(_RB, F.lit(n - 1) - F.col(_RB))
 
@@ -114,7 +112,8 @@ def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str,
     w = Window.partitionBy(_RB, *partition_by).orderBy(*sort)
     local = bucketed.withColumn(_LRN, F.row_number().over(w))
 
-    counts = bucketed.groupBy(_RB, *partition_by).agg(F.count(F.lit(1)).alias(_CNT))
+    # counts from the windowed frame: both branches then share one shuffle
+    counts = local.groupBy(_RB, *partition_by).agg(F.max(_LRN).cast("long").alias(_CNT))
     w_off = Window.partitionBy(*partition_by).orderBy(_RB) \
         .rowsBetween(Window.unboundedPreceding, -1) if partition_by else \
         Window.orderBy(_RB).rowsBetween(Window.unboundedPreceding, -1)

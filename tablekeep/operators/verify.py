@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import row_fingerprint
 from ..functions.literals import EXACT, Dialect
+from ..session import spread
 
 
 def diff_tables(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -32,6 +33,7 @@ def diff_schema(a: DataFrame, b: DataFrame, cols: list[str] | None = None) -> Da
 
 
 def fingerprint_counts(df: DataFrame, dialect: Dialect = EXACT) -> DataFrame:
+    df = spread(df)
     return df.select(row_fingerprint(df, dialect=dialect).alias("fingerprint")) \
         .groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
 

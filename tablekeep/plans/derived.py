@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.dates import iso_text
 from ..functions.keys import backup_key
+from ..session import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table, spread over the cores when its file is one split."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _name(ev) -> F.Column:

@@ -91,3 +91,14 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over the cluster's cores when it has fewer
+    partitions than that (a single-row-group file is one task). A no-op on
+    large inputs, which already arrive in many splits."""
+    sc = df.sparkSession.sparkContext
+    target = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -28,6 +28,7 @@ from .. import constants as K
 from .. import schemas
 from ..functions.literals import EXACT, Dialect
 from ..operators import chunks
+from ..session import spread
 from .catalog import column_rows, create_section
 
 HEADER_DIR = "000000-header"
@@ -115,13 +116,15 @@ def _write_text(df: DataFrame, path: str, max_records: int | None):
 
 def write_dump(tables: dict[str, DataFrame], path: str, generated_iso: str,
                size: int = K.DEFAULT_CHUNK_ROWS, keys: dict[str, list[str]] | None = None,
-               dialect: Dialect = EXACT, max_records: int | None = 100_000,
+               dialect: Dialect = EXACT, max_records: int | None = 1_000,
                parallel: int = 4, gzip_level: int | None = None) -> list[str]:
     """Write the dump under ``path`` (any Hadoop path, ``s3a://`` too).
 
     Tables are written by concurrent jobs; each job is a single pass with no
     shuffle unless ``keys`` asks for exact key order. ``max_records`` caps the
-    INSERT records per part file, since gzip files cannot be split on read.
+    INSERT records per part file (1,000 records of 1,000 rows by default),
+    since gzip files cannot be split on read and each file is one restore
+    task.
     An existing path is an error, as two runs in the same second would
     otherwise overwrite each other. Returns the table folders written."""
     if not tables:
@@ -232,7 +235,7 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -
         cols.sort(key=lambda r: r.ordinal)
         schema = T.StructType([T.StructField(c.name, T._parse_datatype_string(c.spark_type), c.nullable)
                                for c in cols])
-        lines = spark.read.text(f"{path.rstrip('/')}/{cols[0].dir}")
+        lines = spread(spark.read.text(f"{path.rstrip('/')}/{cols[0].dir}"))
         out[name] = parse_tuples(lines, schema)
     return out
 
