@@ -44,18 +44,24 @@ def insert_header(table: str, schema: T.StructType) -> str:
 
 
 def insert_statements(df: DataFrame, table: str, key: list[str], size: int = K.DEFAULT_CHUNK_ROWS,
-                      dialect: Dialect = EXACT, buckets: int | None = None) -> DataFrame:
+                      dialect: Dialect = EXACT, buckets: int | None = None, ordered: bool = False) -> DataFrame:
     """G3 + C7 (exact): ``chunk_id, value`` with one INSERT per chunk. A chunk
-    holds at most ``size`` tuples, so the ordered list per group is bounded."""
+    holds at most ``size`` tuples, so the ordered list per group is bounded.
+    With ``ordered`` the chunks are range-partitioned on ``chunk_id`` before
+    grouping, which the grouping accepts as is: one shuffle gives both the
+    groups and part files in chunk order."""
     header = insert_header(table, df.schema)
     tuples = df.select(*[F.col(quote_identifier_text(k)) for k in key], row_tuple(df.schema, dialect).alias("tuple"))
     chunked = with_chunks(tuples, key, size, buckets)
-    return (chunked.groupBy("chunk_id")
+    if ordered:
+        chunked = chunked.repartitionByRange("chunk_id")
+    grouped = (chunked.groupBy("chunk_id")
             .agg(F.array_sort(F.collect_list(F.struct("rn", "tuple"))).alias("t"))
             .select("chunk_id",
                     F.concat(F.lit(header + "\n"),
                              F.array_join(F.transform("t", lambda x: x["tuple"]), K.INSERT_TUPLE_SEPARATOR),
                              F.lit(";\n")).alias("value")))
+    return grouped.sortWithinPartitions("chunk_id") if ordered else grouped
 
 
 def _chunk_batches(size: int, prefix: str, suffix: str, max_bytes: int = 512 << 20):

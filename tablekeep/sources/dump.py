@@ -63,8 +63,7 @@ def table_records(df: DataFrame, name: str, size: int = K.DEFAULT_CHUNK_ROWS,
     spark = df.sparkSession
     create = _text_frame(spark, create_section(name, df.schema))
     if key:
-        inserts = chunks.insert_statements(df, name, key, size, dialect) \
-            .repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").select("value")
+        inserts = chunks.insert_statements(df, name, key, size, dialect, ordered=True).select("value")
     else:
         inserts = chunks.insert_records_streaming(df, name, size, dialect)
     return create.unionByName(inserts)
