@@ -51,7 +51,8 @@ def table_dir(index: int, name: str) -> str:
 
 
 def _text_frame(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(text,)], "value string")
+    """One record in one partition, so it is the first part file of a union."""
+    return spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
 
 
 def table_records(df: DataFrame, name: str, size: int = K.DEFAULT_CHUNK_ROWS,
@@ -116,7 +117,7 @@ def _write_text(df: DataFrame, path: str, max_records: int | None):
 def write_dump(tables: dict[str, DataFrame], path: str, generated_iso: str,
                size: int = K.DEFAULT_CHUNK_ROWS, keys: dict[str, list[str]] | None = None,
                dialect: Dialect = EXACT, max_records: int | None = 1_000,
-               parallel: int = 4, gzip_level: int | None = None) -> list[str]:
+               parallel: int = 8, gzip_level: int | None = None) -> list[str]:
     """Write the dump under ``path`` (any Hadoop path, ``s3a://`` too).
 
     Tables are written by concurrent jobs; each job is a single pass with no

@@ -82,14 +82,15 @@ def _stream_fn(id_col: str, ttl_micros: int, columns: list[str]):
         import pandas as pd
         lock = state.get[0] if state.exists else None
         frames = [b for b in batches]
-        pdf = pd.concat(frames) if frames else pd.DataFrame(columns=columns + ["__t"])
+        pdf = pd.concat(frames) if frames else pd.DataFrame(columns=columns + ["__t", "__e"])
         pdf = pdf.sort_values(["__t", id_col], kind="mergesort")
         keep = []
-        for t in pdf["__t"].tolist():       # the per-key lock: one comparison per run
+        for t, e in zip(pdf["__t"].tolist(), pdf["__e"].tolist()):   # one comparison per run
             ok = lock is None or t >= lock
             keep.append(ok)
             if ok:
-                lock = t + ttl_micros
+                has_end = e is not None and e == e          # NaN marks a missing end
+                lock = max(t + 1, min(t + ttl_micros, int(e))) if has_end else t + ttl_micros
         if lock is not None:
             state.update((int(lock),))
         yield pdf[keep][columns]
@@ -97,14 +98,15 @@ def _stream_fn(id_col: str, ttl_micros: int, columns: list[str]):
 
 
 def suppress_overlaps_stream(stream: DataFrame, key: str, start: str, id_col: str,
-                             ttl_seconds: int = 1800) -> DataFrame:
+                             ttl_seconds: int = 1800, end: str | None = None) -> DataFrame:
     """U1 (stream): accepted rows of a streaming DataFrame, state = lock end
     per key. Rows must arrive in start order across micro-batches (or behind
     a watermark); within a micro-batch they are sorted."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     schema = stream.schema
     state_schema = T.StructType([T.StructField("lock", T.LongType())])
-    timed = stream.withColumn("__t", _micros(start))
+    timed = stream.withColumn("__t", _micros(start)) \
+        .withColumn("__e", _micros(end) if end else F.lit(None).cast("long"))
     return timed.groupBy(key).applyInPandasWithState(
         _stream_fn(id_col, ttl_seconds * 1_000_000, stream.columns), schema, state_schema,
         "append", GroupStateTimeout.NoTimeout)
