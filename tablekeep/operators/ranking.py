@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
+# Largest CASE tree used to assign buckets. Beyond it, an ungrouped row
+# number materialises one range shuffle with a reliable checkpoint instead.
+MAX_TREE_BUCKETS = 4096
 
 _RB = "__rb"
 _LRN = "__lrn"
@@ -91,15 +94,27 @@ def _direction_prefix(order: list[tuple[str, bool]]) -> tuple[list[str], bool]:
 
 
 def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]],
-               out: str = "rn", buckets: int | None = None) -> DataFrame:
+               out: str = "rn", buckets: int | None = None, method: str = "auto") -> DataFrame:
     """Exact ``row_number() OVER (PARTITION BY partition_by ORDER BY order_by)``
     (1-based) with no group and no table in a single task.
 
     ``order_by`` holds ``(column, descending)`` pairs. Descending sorts put
-    nulls last, ascending nulls first, as Spark does by default.
+    nulls last, ascending nulls first, as Spark does by default. The order
+    should be unique within a group, or ties are numbered arbitrarily.
+
+    ``method``: ``tree`` (range buckets from a CASE tree, no checkpoint, at
+    most ``MAX_TREE_BUCKETS`` buckets), ``checkpoint`` (whole table only: any
+    number of range partitions, one reliable checkpoint) or ``auto``.
     """
     spark = df.sparkSession
     buckets = buckets or _default_buckets(spark)
+    if method == "auto":
+        method = "checkpoint" if (not partition_by and buckets > MAX_TREE_BUCKETS) else "tree"
+    if method == "checkpoint":
+        if partition_by:
+            raise ValueError("the checkpoint method numbers a whole table; use method='tree' with groups")
+        return _row_number_checkpointed(df, order_by, out, buckets)
+    buckets = min(buckets, MAX_TREE_BUCKETS)
     prefix, desc = _direction_prefix(order_by)
     # Any order of the groups works as long as each group's rows are
     # contiguous, so the groups take the direction of the sort prefix.
@@ -131,6 +146,31 @@ def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str,
         .drop(_LRN, _OFF, _RB, "__o_rb", *[f"__o_{i}" for i in range(len(partition_by))])
 
 
+def _row_number_checkpointed(df: DataFrame, order_by: list[tuple[str, bool]], out: str,
+                             partitions: int) -> DataFrame:
+    """Whole-table row number over any number of range partitions.
+
+    Spark's range partitioner binary-searches its bounds, so the partition
+    count has no practical limit, but its sample differs between executions.
+    The sorted partitions are therefore written once as a reliable
+    checkpoint in the shared folder; positions and per-partition counts both
+    come from that copy. The offset table has one row per partition."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    sort = [F.col(c).desc() if d else F.col(c).asc() for c, d in order_by]
+    ranged = df.repartitionByRange(partitions, *sort).sortWithinPartitions(*sort).checkpoint(eager=True)
+    pid = F.spark_partition_id()
+    # monotonically_increasing_id = (partition << 33) + position in partition
+    local = ranged.withColumn("__pid", pid).withColumn(
+        "__idx", F.monotonically_increasing_id() - F.shiftleft(F.col("__pid").cast("long"), 33))
+    counts = ranged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias(_CNT))
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum(_CNT).over(w), F.lit(0)).alias(_OFF))
+    joined = local.join(F.broadcast(offsets), "__pid", "left")
+    return joined.withColumn(out, (F.coalesce(F.col(_OFF), F.lit(0)) + F.col("__idx") + 1).cast("long")) \
+        .drop("__pid", "__idx", _OFF)
+
+
 def top_n(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]], n: int,
           out: str = "rn") -> DataFrame:
     """Rows with ``row_number <= n`` per group. ``rn <= n`` over a window lets

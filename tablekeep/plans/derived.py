@@ -92,7 +92,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
                .otherwise(iso_text(ev.ts)))
     return ev.select(
         ev.event_id.alias("seq"), ok.alias("success"), created.alias("created_at"), db.alias("database_name"),
-        F.when(ev.event_id % 2 == 0, F.lit("php")).otherwise(F.lit("native")).alias("backend"),
+        F.when(ev.event_id % 2 == 0, F.lit("jdbc")).otherwise(F.lit("files")).alias("backend"),
         F.when(ok, F.concat(F.lit("b"), (ev.user_id % 8).cast("string"))).alias("bucket"),
         F.when(ok, backup_key(F.lit("site"), db, ev.ts)).alias("key"),
         F.when(ok, F.floor(F.abs(ev.value) * 1000).cast("long")).alias("size_bytes"),
@@ -104,7 +104,7 @@ SELECT event_id AS seq, event_type <> 'error' AS success,
   CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 31 = 0 THEN 'not-a-date'
        ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS created_at,
   'db' || CAST(user_id % 3 AS VARCHAR) AS database_name,
-  CASE WHEN event_id % 2 = 0 THEN 'php' ELSE 'native' END AS backend,
+  CASE WHEN event_id % 2 = 0 THEN 'jdbc' ELSE 'files' END AS backend,
   CASE WHEN event_type <> 'error' THEN 'b' || CAST(user_id % 8 AS VARCHAR) END AS bucket,
   CASE WHEN event_type <> 'error' THEN 'site/backups/database/' || strftime(ts, '%Y/%m/%d') || '/db-db'
        || CAST(user_id % 3 AS VARCHAR) || '-' || strftime(ts, '%Y%m%d-%H%M%S') || '.sql.gz' END AS key,

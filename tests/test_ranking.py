@@ -34,3 +34,10 @@ def test_mixed_directions_and_nulls(spark):
     a = row_number(ev, [], [("t", False), ("event_id", True)], buckets=8)
     w = Window.orderBy(F.col("t").asc(), F.col("event_id").desc())
     assert same(a, ev.withColumn("rn", F.row_number().over(w)))
+
+
+def test_checkpointed_whole_table(spark):
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
+    a = row_number(li, [], [("l_orderkey", True), ("l_linenumber", False)], buckets=16, method="checkpoint")
+    w = Window.orderBy(F.col("l_orderkey").desc(), F.col("l_linenumber").asc())
+    assert same(a, li.withColumn("rn", F.row_number().over(w)))
