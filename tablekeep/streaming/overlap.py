@@ -37,20 +37,28 @@ def _micros(c):
 
 def next_pointers(df: DataFrame, key: str, start: str, id_col: str, ttl_seconds: int,
                   end: str | None = None) -> DataFrame:
-    """``key, id, rn, next_id`` for every run (``next_id`` null at the end)."""
+    """``key, id, rn, next_id`` for every run (``next_id`` null at the end).
+    Needs ``spark.checkpoint.dir`` (see ``session.ensure_checkpoint_dir``)."""
     s = _micros(start)
     lock = s + F.lit(ttl_seconds * 1_000_000)
     if end:
         lock = F.least(lock, F.coalesce(_micros(end), lock))
     lock = F.greatest(lock, s + 1)   # a lock never ends before it starts
-    runs = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), s.alias("t"), lock.alias("le"))
+    # the compact run table is read by every step below: written once
+    runs = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), s.alias("t"), lock.alias("le")).checkpoint()
 
     ranked = row_number(runs, ["k"], [("t", False), ("id", False)], out="rn")
     merged = (runs.select("k", "id", F.col("le").alias("t"), F.lit(0).alias("kind"))
               .unionByName(runs.select("k", "id", "t", F.lit(1).alias("kind"))))
     u = row_number(merged, ["k"], [("t", False), ("kind", False), ("id", False)], out="u") \
         .filter(F.col("kind") == 0).select("k", "id", "u")
-    p = row_number(runs.select("k", "id", "le"), ["k"], [("le", False), ("id", False)], out="p").select("k", "id", "p")
+    if end:
+        p = row_number(runs.select("k", "id", "le"), ["k"], [("le", False), ("id", False)], out="p") \
+            .select("k", "id", "p")
+    else:
+        # lock end = start + ttl orders like the runs: the rank among lock
+        # ends is the run's own rank
+        p = ranked.select("k", "id", F.col("rn").alias("p"))
     want = u.join(p, ["k", "id"]).select("k", "id", (F.col("u") - F.col("p") + 1).alias("next_rn"))
     targets = ranked.select("k", F.col("rn").alias("next_rn"), F.col("id").alias("next_id"))
     nxt = want.join(targets, ["k", "next_rn"], "left").select("k", "id", "next_id")
