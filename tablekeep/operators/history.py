@@ -31,18 +31,26 @@ def last_success(history: DataFrame, window: int | None = K.HISTORY_LENGTH,
     With ``window`` only the newest ``window`` entries are looked at, as the
     stored history holds no more (20 failures in a row give ``None``). The
     first match decides: an unparseable date gives ``Unknown``, the search
-    does not go on. ``by`` gives one row per group (``max_by``, no sort)."""
+    does not go on. ``by`` gives one row per group.
+
+    The newest run per group is found with hash aggregation only: ``max(seq)``
+    per group, then a left-semi join back on ``(group, seq)`` (``seq`` is
+    unique); the per-group maxima are broadcast when adaptive execution sees
+    they are small."""
     src = latest_history(history, window) if window else history
     ok = successful(src)
-    rec = F.struct(F.col("seq"), F.col("created_at"))
+    keys = list(by or [])
+    newest = ok.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    picked = ok.join(newest, keys + ["seq"], "left_semi") \
+        .select(*keys, "seq", "created_at", history_date(F.col("created_at"), tz, "unknown").alias("label"))
     if by:
-        agg = ok.groupBy(*by).agg(F.max_by(rec, F.col("seq")).alias("r"))
-        return agg.select(*by, F.col("r.seq").alias("seq"), F.col("r.created_at").alias("created_at"),
-                          history_date(F.col("r.created_at"), tz, "unknown").alias("label"))
-    agg = ok.agg(F.max_by(rec, F.col("seq")).alias("r"))
-    return agg.select(F.col("r.seq").alias("seq"), F.col("r.created_at").alias("created_at"),
-                      F.when(F.col("r").isNull(), F.lit(K.LABEL_NONE))
-                      .otherwise(history_date(F.col("r.created_at"), tz, "unknown")).alias("label"))
+        return picked
+    # one global answer, ``None`` when there is no successful run
+    one = picked.unionByName(
+        ok.sparkSession.range(1).select(F.lit(None).cast("long").alias("seq"),
+                                        F.lit(None).cast("string").alias("created_at"),
+                                        F.lit(K.LABEL_NONE).alias("label")))
+    return one.orderBy(F.col("seq").desc_nulls_last()).limit(1)
 
 
 def history_to_json(history: DataFrame) -> DataFrame:
