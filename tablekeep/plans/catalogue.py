@@ -17,7 +17,6 @@ from .. import constants as K
 from ..functions import dates, hashing, keys, labels, literals, numbers
 from ..functions.literals import PLAIN10
 from ..operators import chunks, history as hist, retention, verify
-from ..operators.ranking import row_number
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import catalog, dump, history_store, objects
 from . import derived, reports
