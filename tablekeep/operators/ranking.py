@@ -127,7 +127,9 @@ def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str,
     w = Window.partitionBy(_RB, *partition_by).orderBy(*sort)
     local = bucketed.withColumn(_LRN, F.row_number().over(w))
 
-    # counts from the windowed frame: both branches then share one shuffle
+    # Counts per (bucket, group). This branch reads only the bucket and group
+    # columns (Spark prunes the rest), so its second pass over the input is
+    # narrow; the bucket is a pure function of the row, so both passes agree.
     counts = local.groupBy(_RB, *partition_by).agg(F.max(_LRN).cast("long").alias(_CNT))
     w_off = Window.partitionBy(*partition_by).orderBy(_RB) \
         .rowsBetween(Window.unboundedPreceding, -1) if partition_by else \
