@@ -93,12 +93,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def spread(df, min_partitions: int | None = None):
+def spread(df, min_partitions: int | None = None, min_bytes: int = 1 << 20):
     """Round-robin ``df`` over the cluster's cores when it has fewer
-    partitions than that (a single-row-group file is one task). A no-op on
-    large inputs, which already arrive in many splits."""
+    partitions than that (a single-row-group file is one task) and is large
+    enough (estimated plan size ``min_bytes`` or more) for the extra shuffle
+    to pay. A no-op on large inputs, which already arrive in many splits."""
     sc = df.sparkSession.sparkContext
     target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no estimate: assume it is worth spreading
+        size = min_bytes
+    return df.repartition(target) if size >= min_bytes else df

@@ -76,12 +76,17 @@ def dump_lines(tables: dict[str, DataFrame], generated_iso: str, size: int = K.D
     dump. Sort by ``(section order, table_name, chunk_id)`` to read it in
     order; with ``keys`` every table is chunked in exact key order."""
     spark = next(iter(tables.values())).sparkSession
-    parts = [spark.createDataFrame([(None, schemas.SECTION_HEADER, 0, header_text(generated_iso))],
-                                   schemas.DUMP)]
+
+    def one_row(table, section, text):
+        # a literal record in a single partition
+        return spark.range(0, 1, 1, 1).select(F.lit(table).cast("string").alias("table_name"),
+                                              F.lit(section).alias("section"),
+                                              F.lit(0).cast("long").alias("chunk_id"), F.lit(text).alias("value"))
+
+    parts = [one_row(None, schemas.SECTION_HEADER, header_text(generated_iso))]
     for name in sorted(tables):
         df = tables[name]
-        parts.append(spark.createDataFrame(
-            [(name, schemas.SECTION_CREATE, 0, create_section(name, df.schema))], schemas.DUMP))
+        parts.append(one_row(name, schemas.SECTION_CREATE, create_section(name, df.schema)))
         key = (keys or {}).get(name)
         if key:
             ins = chunks.insert_statements(df, name, key, size, dialect)
@@ -91,7 +96,7 @@ def dump_lines(tables: dict[str, DataFrame], generated_iso: str, size: int = K.D
         parts.append(ins.select(F.lit(name).alias("table_name"),
                                 F.lit(schemas.SECTION_INSERT).alias("section"),
                                 F.col("chunk_id").cast("long"), "value"))
-    parts.append(spark.createDataFrame([(None, schemas.SECTION_FOOTER, 0, footer_text())], schemas.DUMP))
+    parts.append(one_row(None, schemas.SECTION_FOOTER, footer_text()))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
