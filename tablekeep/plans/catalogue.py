@@ -910,7 +910,8 @@ def q_history_stream(spark, d):
     _prep(spark)
     from ..streaming.history_stream import history_stream, read_rolling
     src = scratch_path(spark, "history-src")
-    derived.history(spark, d).write.parquet(src)
+    # several files, so several micro-batches merge into the rolling top 20
+    derived.history(spark, d).repartition(4).write.parquet(src)
     stream = spark.readStream.schema(derived.history(spark, d).schema).option("maxFilesPerTrigger", 1).parquet(src)
     out, ck = scratch_path(spark, "history-roll"), scratch_path(spark, "history-ck")
     history_stream(stream, out, ck).awaitTermination()
