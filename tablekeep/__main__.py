@@ -22,6 +22,7 @@ def main(argv=None) -> int:
     e = sub.add_parser("export")
     e.add_argument("source"), e.add_argument("root")
     e.add_argument("--prefix", default=""), e.add_argument("--name", default="database")
+    e.add_argument("--level", type=int, default=None, help="gzip level (9 = smallest files)")
     r = sub.add_parser("restore-verify")
     r.add_argument("dump"), r.add_argument("source")
     t = sub.add_parser("retention")
@@ -45,7 +46,7 @@ def main(argv=None) -> int:
 
     if a.cmd == "export":
         from .plans.export import export_database
-        export_database(spark, a.source, a.root, a.prefix, a.name).show(truncate=False)
+        export_database(spark, a.source, a.root, a.prefix, a.name, gzip_level=a.level).show(truncate=False)
     elif a.cmd == "restore-verify":
         from .plans.export import restore_and_verify
         res = restore_and_verify(spark, a.dump, a.source)

@@ -135,9 +135,23 @@ def write_dump(tables: dict[str, DataFrame], path: str, generated_iso: str,
     if not tables:
         raise ValueError("no tables to export")
     spark = next(iter(tables.values())).sparkSession
-    if gzip_level is not None:
-        spark._jsc.hadoopConfiguration().set("zlib.compress.level",
-                                            "BEST_COMPRESSION" if gzip_level >= 9 else "DEFAULT_COMPRESSION")
+    if gzip_level is None:
+        return _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_records, parallel)
+    # the codec level is a session-wide Hadoop setting: set it for this write
+    # only and put the previous value back afterwards
+    conf = spark._jsc.hadoopConfiguration()
+    previous = conf.get("zlib.compress.level")
+    conf.set("zlib.compress.level", "BEST_COMPRESSION" if gzip_level >= 9 else "DEFAULT_COMPRESSION")
+    try:
+        return _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_records, parallel)
+    finally:
+        if previous is None:
+            conf.unset("zlib.compress.level")
+        else:
+            conf.set("zlib.compress.level", previous)
+
+
+def _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_records, parallel) -> list[str]:
     root = path.rstrip("/")
     names = sorted(tables)
     dirs = {n: table_dir(i + 1, n) for i, n in enumerate(names)}
