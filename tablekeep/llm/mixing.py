@@ -99,19 +99,30 @@ def place_documents(sizes: DataFrame, n_rows: int) -> DataFrame:
                               [F.col("doc_id").asc_nulls_last(), F.col("size")], "size", "start")
 
 
-def permuted(index: str, n: str, source: str, pass_no: str, rounds: int = ROUNDS, seed: int = SEED) -> Column:
-    """Image of ``index`` under the swap-or-not permutation of ``[0, n)`` keyed
-    by source, pass and seed (Hoang, Morris, Rogaway 2012): in each round a
-    keyed bit of the unordered pair {x, key - x} decides which of the two is
-    taken, which makes every round a bijection."""
+def round_keys(source: str, n: str, passes: int, rounds: int = ROUNDS, seed: int = SEED) -> Column:
+    """Per pass, the ``(key, shift)`` of each round of the permutation of
+    ``[0, n)``; a row per source, made once."""
+    def one(pass_no: Column, r: Column) -> Column:
+        key = (F.col(source) * 7919 + pass_no * 104729 + r * 1299709 + F.lit(seed)) % PRIME * 48271 % PRIME
+        return F.struct(key.alias("key"), ((key * PRIME + key * 16807 % PRIME) % F.greatest(F.lit(1), F.col(n))).alias("shift"))
+
+    def upto(m: int) -> Column:
+        return F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))
+    return F.transform(upto(passes), lambda p: F.transform(upto(rounds), lambda r: one(p, r)))
+
+
+def permuted(index: str, n: str, keys: Column) -> Column:
+    """Image of ``index`` under the swap-or-not permutation of ``[0, n)``
+    (Hoang, Morris, Rogaway 2012): in each round a keyed bit of the unordered
+    pair {x, shift - x} decides which of the two is taken, which makes every
+    round a bijection."""
     size = F.col(n)
 
-    def one_round(x: Column, r: Column) -> Column:
-        key = (F.col(source) * 7919 + F.col(pass_no) * 104729 + r * 1299709 + F.lit(seed)) % PRIME * 48271 % PRIME
-        other = ((key * PRIME + key * 16807 % PRIME) % size + size - x) % size
-        bits = ((F.greatest(x, other) % PRIME * 48271 + key) % PRIME * 69621 + (x + other) % PRIME) % PRIME
+    def one_round(x: Column, k: Column) -> Column:
+        other = (k["shift"] + size - x) % size
+        bits = ((F.greatest(x, other) % PRIME * 48271 + k["key"]) % PRIME * 69621 + (x + other) % PRIME) % PRIME
         return F.when(F.shiftright(bits, 16) % 2 == 1, other).otherwise(x)
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")), F.col(index), one_round)
+    return F.aggregate(keys, F.col(index), one_round)
 
 
 def shard_counts(spark, quotas: DataFrame, n_slots: int, n_sources: int, small, seed: int = SEED) -> DataFrame:
@@ -161,6 +172,8 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_passes:
     plan = common.stage(plan, "mix-plan")
     placed = common.running_sum(counts.withColumn("major", F.expr("shard div 256")), ["sidx"], "major",
                                 [F.col("shard")], "n", "offset")
+    # a row here is a whole shard's share of a source: spread them before they are spelled out
+    placed = placed.repartition(common.shuffle_partitions(spark), "shard", "sidx")
     drawn = (placed.select("shard", "sidx", F.explode(F.expr("sequence(offset, offset + n - 1)")).alias("k"))
              .join(small(plan.select("sidx", "quota", "over_base", "n_blocks")), "sidx"))
     kept = drawn.filter("k < quota").select("shard", "sidx", "k", "n_blocks")
@@ -169,10 +182,11 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_passes:
             .select("sidx", "drawn", "short_base", "n_blocks", F.explode(F.expr("sequence(0L, short - 1)")).alias("j"))
             .select((F.col("short_base") + F.col("j")).alias("m"), "sidx", (F.col("drawn") + F.col("j")).alias("k"), "n_blocks"))
     again = extra.join(gaps, "m").select("shard", "sidx", "k", "n_blocks")
+    keyed = quotas.select("sidx", round_keys("sidx", "n_blocks", max_passes, seed=seed).alias("keys"))
     slots = (kept.unionByName(again).withColumn("pass_no", F.expr("k div n_blocks"))
-             .withColumn("i", F.expr("k % n_blocks")))
+             .withColumn("i", F.expr("k % n_blocks")).join(small(keyed), "sidx"))
     slots = slots.select("shard", "sidx", "k", "pass_no",
-                         permuted("i", "n_blocks", "sidx", "pass_no", seed=seed).alias("block"))
+                         permuted("i", "n_blocks", F.get("keys", F.col("pass_no").cast("int"))).alias("block"))
 
     b = block_words
     pieces = (rows.filter("size > 0")

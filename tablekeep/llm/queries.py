@@ -9,24 +9,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import decontam, line_dedup, mixing, pu_quality, rules, simhash
 from .common import load
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    return rules.apply_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that the mix takes."""
     mix = mixing.mixture(load(spark, sf_dir, "documents"))
     return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that fuzzy line dedup removes from every document."""
+    return line_dedup.dedup_report(load(spark, sf_dir, "documents"))
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return pu_quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return (simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3)
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return (decontam.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+            .select("doc_id", "item_id", "n_windows", "item_windows", "kind"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_source_mixing": op2_source_mixing, "op9_simhash": op9_simhash}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_line_dedup, op5_pu_quality,
+                                    op9_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
