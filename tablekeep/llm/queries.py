@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, pu_quality, rules, simhash
+from . import decontam, line_dedup, lm_score, mixing, pu_quality, rules, simhash, suffix_dedup, token_counts, warc
 from .common import load
 
 
@@ -29,11 +29,33 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(load(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier document."""
+    return suffix_dedup.dedup_substrings(load(spark, sf_dir, "documents"))
+
+
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return pu_quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word-piece counts of every document."""
+    return token_counts.token_counts(load(spark, sf_dir, "documents"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; target: labelled good."""
+    targets = load(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.score_documents(load(spark, sf_dir, "documents"), targets)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a WARC archive, normalised and read back."""
+    return (warc.round_trip(load(spark, sf_dir, "pages"), min_bytes=0)
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return (simhash.near_duplicates(load(spark, sf_dir, "documents"), shingle=3)
@@ -47,9 +69,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_line_dedup, op5_pu_quality,
-                                    op9_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_line_dedup, op4_suffix_dedup, op5_pu_quality,
+                                    op6_token_counts, op7_lm_scoring, op8_warc, op9_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.taken_sql()}
+    return {"op2_source_mixing": mixing.taken_sql(), "op8_warc": warc.ORACLE_SQL}

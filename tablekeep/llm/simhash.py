@@ -121,6 +121,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.select(F.array_min("fps").alias("b"), F.explode("fps").alias("a")).filter("a <> b").select("a", "b")
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """``(fp, root)``: the component of every fingerprint of ``fps(fp, ...)``."""
+    distinct = common.stage(fps.select("fp").distinct(), "distinct-fingerprints")
+    roots = common.components(links(distinct))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, component_id)``: one row per row of ``docs``, the
     smallest id reachable over links of at most two differing bits.
@@ -131,11 +138,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     the id and the text are ignored, whatever their names.
     """
     fps = common.stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    by_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    by_fp = common.stage(by_fp, "distinct-fingerprints")
-    roots = common.components(links(by_fp.select("fp")))
-    rooted = (by_fp.join(roots, by_fp.fp == roots.node, "left")
-              .select("fp", F.coalesce("root", "fp").alias("root"), "low"))
+    lows = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    rooted = lows.join(classes(fps), "fp")
     component = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     class_of = rooted.join(component, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(class_of, fps.fp == class_of._fp).select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row left of each component: the one with the smallest
+    ``doc_id`` (null ids last, then by text hash); all columns stay. Of rows
+    equal in id and text one stays."""
+    text_hash = F.xxhash64("text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([shingle_fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
+                                          names=["doc_id", "text_hash", "fp"])
+    fps = common.stage(common.map_arrow(keyed, run, "doc_id long, text_hash long, fp long"), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    lows = fps.groupBy("fp").agg(F.min(row).alias("low"))
+    kept = (lows.join(classes(fps), "fp").groupBy("root").agg(F.min("low").alias("low"))
+            .select(F.col("low.doc_id").alias("_rep_d"), F.col("low.text_hash").alias("_rep_h")))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_rep_d")) & (text_hash == F.col("_rep_h")), "left_semi")
+    if fps.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        out = (out.withColumn("_rep_h", text_hash).dropDuplicates(["doc_id", "_rep_h"])).drop("_rep_h")
+    return out
