@@ -1,14 +1,17 @@
-"""Quality rules: an isolation forest on rule statistics.
+"""Quality rules: isolation forests on rule statistics.
 
 1. Rule statistics of every whole text (counts of words, symbols, repeated
-   lines, repeated word windows, capitals); base rules reject the plain cases.
-2. An isolation forest (Liu, Ting, Zhou 2008) over the ratios of the rows that
-   pass the base rules: trees of random splits on subsamples; anomalous rows
-   are isolated after few splits. Trees are fitted in parallel, one group of
-   at most about ``tree_rows`` rows each; the fitted forest is at most
-   ``trees * 2 * tree_rows`` nodes, whatever the table holds.
-3. The score above which a row is rejected is calibrated on all labelled rows:
-   the cut with the best balanced accuracy over a fixed score histogram.
+   lines, repeated word windows, repeated neighbours, capitals); base rules
+   reject the plain cases.
+2. Isolation forests (Liu, Ting, Zhou 2008) over ratios of the rows that pass
+   the base rules, one for each group of statistics and one for all together:
+   trees of random splits on subsamples; anomalous rows are isolated after few
+   splits. Trees are fitted in parallel, one group of about ``tree_rows`` rows
+   each, so a fitted forest has a bounded size whatever the table holds.
+3. The score above which a forest rejects a row is calibrated on all labelled
+   rows: forest by forest, the cut that gains most labelled rows (bad ones
+   caught less good ones lost) among those not yet rejected; a forest without
+   gain rejects nothing.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ from . import common
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
-FEATURES = ["word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_neighbours"]
+FEATURES = ["symbol_ratio", "neighbour_ratio", "word_length", "upper_ratio", "repeat_ratio", "dup_line_ratio"]
+#: Forests in the order in which they are calibrated.
+FORESTS = {"symbols": ["symbol_ratio"], "neighbours": ["neighbour_ratio"], "words": ["word_length"],
+           "capitals": ["upper_ratio"], "repeats": ["repeat_ratio", "dup_line_ratio"], "all": FEATURES}
+MIN_GAIN = 2  # labelled rows that a cut must gain
 WINDOW = 5
 SCORE_STEPS = 1000  # resolution of the calibration histogram
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -66,7 +73,8 @@ def rule_counts(text: str | None) -> tuple[int, ...]:
             else:
                 seen.add(line)
     return (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup,
-            repeated_window_words(words), lines, len(data) - len(data.translate(None, _CAPITALS)))
+            repeated_window_words(words), lines, len(data) - len(data.translate(None, _CAPITALS)),
+            sum(map(bytes.__eq__, words, words[1:])))
 
 
 def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,13 +90,12 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def with_features(stats: DataFrame) -> DataFrame:
-    words = F.greatest(F.lit(1), F.col("n_words")).cast("double")
-    chars = F.greatest(F.lit(1), F.col("word_chars")).cast("double")
-    lines = F.greatest(F.lit(1), F.col("n_lines")).cast("double")
+    """Ratios, damped so that a short text is not extreme by one word."""
+    words, lines, chars = (F.col(c).cast("double") for c in ("n_words", "n_lines", "word_chars"))
     return stats.withColumns({
-        "word_length": F.col("word_chars") / words, "symbol_ratio": F.col("n_symbols") / words,
-        "dup_line_ratio": F.col("n_dup_lines") / lines, "repeat_ratio": F.col("n_repeat_words") / words,
-        "upper_ratio": F.col("n_upper") / chars})
+        "symbol_ratio": F.col("n_symbols") / (words + 10), "neighbour_ratio": F.col("n_neighbours") / (words + 10),
+        "word_length": (chars + 500) / (words + 100), "upper_ratio": F.col("n_upper") / (chars + 200),
+        "repeat_ratio": F.col("n_repeat_words") / (words + 20), "dup_line_ratio": F.col("n_dup_lines") / (lines + 5)})
 
 
 def _average_path(n: float) -> float:
@@ -122,7 +129,7 @@ def grow_tree(points: np.ndarray, seed: int, max_depth: int) -> np.ndarray:
     return np.array(nodes, dtype=np.float64)
 
 
-def fit_forest(rows: DataFrame, features: list[str], trees: int = 128, tree_rows: int = 256, seed: int = 7) -> list[np.ndarray]:
+def fit_forest(rows: DataFrame, features: list[str], trees: int = 64, tree_rows: int = 256, seed: int = 7) -> list[np.ndarray]:
     """A forest over ``rows``. A row falls into a tree's subsample by a hash of
     its values, with the chance that gives ``tree_rows`` rows a tree, so the
     sampled rows are at most about ``trees * tree_rows``."""
@@ -166,48 +173,53 @@ def forest_scores(forest: list[np.ndarray], points: np.ndarray, tree_rows: int =
     return np.power(2.0, -total / len(forest) / _average_path(tree_rows))
 
 
-def calibrated_cut(scored: DataFrame, labels: DataFrame) -> float:
-    """The score above which a row counts as bad: best balanced accuracy over
-    all labelled rows that passed the base rules. Without labels of both
-    classes nothing is rejected."""
-    marks = (labels.filter("quality is not null and doc_id is not null")
-             .groupBy("doc_id").agg(F.max("quality").alias("_quality")))
-    bins = (scored.filter(~F.col("base_failed")).join(marks, "doc_id")
-            .groupBy(F.floor(F.col("score") * SCORE_STEPS).alias("bin"))
-            .agg(F.sum((F.col("_quality") == 0).cast("long")).alias("bad"),
-                 F.sum((F.col("_quality") != 0).cast("long")).alias("good")).orderBy("bin").collect())
-    bad, good = sum(r.bad for r in bins), sum(r.good for r in bins)
-    if not bad or not good:
-        return math.inf
-    best, cut, below_good, below_bad = 0.5, math.inf, 0, 0
-    for r in bins:  # at most SCORE_STEPS + 1 bins
-        below_good, below_bad = below_good + r.good, below_bad + r.bad
-        accuracy = (below_good / good + (bad - below_bad) / bad) / 2
-        if accuracy > best + 1e-12:
-            best, cut = accuracy, (r.bin + 1) / SCORE_STEPS
-    return cut
-
-
-def apply_rules(docs: DataFrame, labels: DataFrame, trees: int = 128, tree_rows: int = 256) -> DataFrame:
+def calibrated_cuts(marked: DataFrame, names: list[str]) -> dict[str, float]:
+    """The score from which each forest rejects, on all rows of ``marked``
+    (scores and ``bad``). Without labels of both classes nothing is
+    rejected. Only score histograms come to the driver."""
+    cuts = dict.fromkeys(names, math.inf)
+    left = marked
+    for name in names:
+        bins = (left.groupBy(F.floor(F.col(name) * SCORE_STEPS).alias("bin"))
+                .agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n")).orderBy(F.desc("bin")).collect())
+        good = sum(r.n - r.bad for r in bins)
+        best, gain = MIN_GAIN - 1, 0
+        for r in bins:  # at most SCORE_STEPS + 1 bins, highest scores first
+            gain += 2 * r.bad - r.n
+            if gain > best and good:
+                best, cuts[name] = gain, r.bin / SCORE_STEPS
+        left = left.filter(F.col(name) < F.lit(cuts[name]))
+    return cuts
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, trees: int = 64, tree_rows: int = 256) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, score, n_lines, n_upper)``, one row per row of ``docs``.
+    base_failed, kept, score_<forest>..., n_lines, n_upper, n_neighbours)``,
+    one row per row of ``docs``.
 
-    ``kept`` is false for rows that fail the base rules or score above the
-    calibrated cut. Null texts count as empty (and fail the base rules); null
-    and repeated ids keep their rows; an empty table gives an empty result;
-    other columns are ignored, whatever their names.
+    ``kept`` is false for rows that fail the base rules or that a forest
+    rejects. Null texts count as empty (and fail the base rules); null and
+    repeated ids keep their rows; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     stats = common.stage(with_features(rule_statistics(docs)), "rule-statistics")
-    forest = fit_forest(stats.filter(~F.col("base_failed")), FEATURES, trees, tree_rows)
+    fitted = stats.filter(~F.col("base_failed"))
+    forests = {f: fit_forest(fitted, features, trees, tree_rows) for f, features in FORESTS.items()}
     names = [f.name for f in stats.schema.fields]
+    scores = [f"score_{f}" for f in FORESTS]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        points = np.column_stack([batch.column(names.index(f)).to_numpy(zero_copy_only=False) for f in FEATURES])
-        scores = forest_scores(forest, points, tree_rows)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
+        column = {f: batch.column(names.index(f)).to_numpy(zero_copy_only=False) for f in FEATURES}
+        got = [forest_scores(forests[f], np.column_stack([column[x] for x in features]), tree_rows) for f, features in FORESTS.items()]
+        return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, got)], names=[*names, *scores])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
-    scored = common.map_arrow(stats, run, f"{fields}, score double")
-    cut = calibrated_cut(scored, labels)
-    return scored.select("doc_id", *COUNTS[:5], "base_failed",
-                         (~F.col("base_failed") & (F.col("score") < F.lit(cut))).alias("kept"),
-                         "score", *COUNTS[5:])
+    scored = common.map_arrow(stats, run, f"{fields}, " + ", ".join(f"{s} double" for s in scores))
+    scored = common.stage(scored, "rule-scores")
+    marks = (labels.filter("quality is not null and doc_id is not null")
+             .groupBy("doc_id").agg((F.max("quality") == 0).alias("bad")))
+    marked = scored.filter(~F.col("base_failed")).join(marks, "doc_id").select("bad", *scores)
+    cuts = calibrated_cuts(common.stage(marked, "rule-labels"), scores)
+    kept = ~F.col("base_failed")
+    for name in scores:
+        kept = kept & (F.col(name) < F.lit(cuts[name]))
+    return scored.select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), *scores, *COUNTS[5:])
