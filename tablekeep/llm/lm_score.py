@@ -177,8 +177,8 @@ def score_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     Every document has an end mark as a token, so a null or empty text has one
     token. A null id is no target. Repeated rows count as often as they occur
-    and each gets a row. Without targets both models are equal and all scores
-    0. An empty table gives an empty result; other columns are ignored,
+    and each gets a row. Without targets the target model is the background's
+    word shares. An empty table gives an empty result; other columns are ignored,
     whatever their names.
     """
     spark = docs.sparkSession

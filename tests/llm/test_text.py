@@ -1,0 +1,344 @@
+"""Quality, token counts, LM scores, decontamination, mixing and WARC."""
+
+import math
+import random
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tablekeep.llm import decontam, lm_score, mixing, pu_quality, queries, rules, token_counts, warc
+from tablekeep.llm.common import load
+
+from .conftest import EDGE, PROSE, SF001, make_docs
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, score string")
+
+
+# --- quality rules ---------------------------------------------------------
+
+def brute_counts(text):
+    text = text or ""
+    words = text.encode().split()
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    windows = Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+    inside = {j for i in range(len(words) - 4) if windows[tuple(words[i:i + 5])] > 1 for j in range(i, i + 5)}
+    return (len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside))
+
+
+def test_rule_counts(spark, edge):
+    texts = [t for _, t in EDGE] + ["a b c d e f " * 9, "a a a a a a a a", "1 2 3 4 5 1 2 3 4 5 6 7 8 2 3 4 5 1", "q\nq\n \n \nq r"]
+    for t in texts:
+        assert rules.rule_counts(t)[:5] == brute_counts(t)
+    labels = labels_of(spark, [(15, 0, 0, "x"), (1, 1, 0, "x"), (None, 0, 0, "x"), (3, None, 0, "x")])
+    got = rules.apply_rules(edge, labels).collect()
+    want = Counter((i, *brute_counts(t)) for i, t in EDGE)
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+
+
+def test_forest_isolates_outliers():
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(size=(500, 2)), [[9.0, 9.0]]])
+    forest = [rules.grow_tree(points[rng.choice(501, 256)], i, 16) for i in range(64)]
+    scores = rules.forest_scores(forest, points)
+    assert scores[-1] > scores[:-1].max() and 0 < scores.min() and scores.max() < 1
+
+
+def test_rules_follow_the_labels(spark):
+    got = queries.op1_quality_rules(spark, SF001).join(load(spark, SF001, "labels"), "doc_id").filter("not base_failed")
+    share = got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in share}
+    assert kept[1] > 0.97 and kept[0] < 0.1
+
+
+def test_rules_without_labels_or_rows(spark, edge, empty):
+    nothing = labels_of(spark, [])
+    assert all(r.kept == (not r.base_failed) for r in rules.apply_rules(edge, nothing).collect())
+    assert rules.apply_rules(empty, nothing).count() == 0
+
+
+# --- quality classifier ----------------------------------------------------
+
+def test_classifier_held_out_accuracy(spark):
+    got = queries.op5_pu_quality(spark, SF001).join(load(spark, SF001, "labels"), "doc_id").filter("held_out").collect()
+    right = {q: [r.predicted == q for r in got if r.quality == q] for q in (0, 1)}
+    assert sum(right[1]) >= 0.97 * len(right[1]) and sum(right[0]) >= 0.8 * len(right[0])
+
+
+def test_classifier_never_learns_from_held_out_labels(spark):
+    docs, labels = load(spark, SF001, "documents"), load(spark, SF001, "labels")
+    flipped = labels.withColumn("quality", F.when(pu_quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (sorted((r.doc_id, r.score, r.held_out) for r in pu_quality.classify(docs, x).collect()) for x in (labels, flipped))
+    assert a == b
+    assert all(h == pu_quality.in_fold(i) for i, _, h in a)
+
+
+def test_classifier_edge_rows(spark, edge, empty):
+    for labels in (labels_of(spark, []), labels_of(spark, [(1, 1, 0, "x"), (15, 0, 0, "x"), (15, 0, 0, "x"), (None, 1, 0, "x"), (7, None, 0, "x")])):
+        got = pu_quality.classify(edge, labels).collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in EDGE)
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+        assert pu_quality.classify(empty, labels).count() == 0
+
+
+def test_prior_and_risk():
+    rng = np.random.default_rng(1)
+    positive, negative = rng.normal(2, 1, (1500, 3)), rng.normal(-2, 1, (1500, 3))
+    unlabelled = np.concatenate([positive[:900], negative[:600]])
+    model = pu_quality.fit(positive[900:], np.zeros((0, 3)), unlabelled)
+    assert abs(model.prior - 0.6) < 0.1
+    assert (model.score(positive) > 0.5).mean() > 0.95 and (model.score(negative) < 0.5).mean() > 0.95
+
+
+# --- token counts ----------------------------------------------------------
+
+def greedy(word, pieces):
+    n, at = 0, 0
+    while at < len(word):
+        at = max(e for e in range(at + 1, len(word) + 1) if word[at:e] in pieces)
+        n += 1
+    return n
+
+
+def test_token_counts_against_greedy_pieces(spark, edge):
+    vocabulary = token_counts.read_vocabulary()
+    pieces = set(vocabulary) | {bytes([b]) for b in range(256)}
+    got = Counter((r.doc_id, r.n_words, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(edge).collect())
+    assert got == Counter((i, len((t or "").encode().split()), len((t or "").encode()),
+                           sum(greedy(b" " + w, pieces) for w in (t or "").encode().split())) for i, t in EDGE)
+
+
+def test_automaton_on_adversarial_vocabularies(spark, empty):
+    rng = random.Random(4)
+    for _ in range(40):
+        pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 7))).encode() for _ in range(rng.randint(1, 12))]
+        automaton = token_counts.Automaton(pieces)
+        known = set(pieces) | {bytes([b]) for b in range(256)}
+        for _ in range(40):
+            word = "".join(rng.choice("aab") for _ in range(rng.randint(0, 30))).encode()
+            assert automaton.count(word) == greedy(word, known)
+    assert token_counts.token_counts(empty).count() == 0
+
+
+# --- LM scores -------------------------------------------------------------
+
+def test_lm_scores_against_plain_counts(spark, edge, empty):
+    targets = [1, 3, 9]
+    docs = [(i, [*[w.decode() for w in (t or "").encode().split()], "</s>"]) for i, t in EDGE]
+    models = []
+    for own in (lambda i: True, lambda i: i in targets):
+        words, pairs, n = Counter(), Counter(), 0
+        for i, w in docs:
+            if own(i):
+                words.update([*w, "<s>"])
+                pairs.update(zip(["<s>", *w], w))
+                n += len(w)
+        models.append((words, pairs, n))
+    (cb, pb, nb), (ct, pt, nt) = models
+    want = []
+    for i, w in docs:
+        mine = i in targets
+        own, own_pairs = Counter([*w, "<s>"]), Counter(zip(["<s>", *w], w))
+        lt = lb = 0.0
+        for v, x in zip(["<s>", *w], w):
+            p_back = cb[x] / nb
+            n_t = nt - len(w) * mine
+            p_target = (1 - lm_score.LAM) * (ct[x] - own[x] * mine) / n_t + lm_score.LAM * p_back
+            lb -= math.log((pb[v, x] + lm_score.MU * p_back) / (cb[v] + lm_score.MU))
+            lt -= math.log((pt[v, x] - own_pairs[v, x] * mine + lm_score.MU * p_target) / (ct[v] - own[v] * mine + lm_score.MU))
+        want.append((i, len(w), round(lt / len(w), 9), round(lb / len(w), 9)))
+    marks = spark.createDataFrame([(i, "x") for i in [*targets, 1, None]], "doc_id long, score string")
+    got = lm_score.score_documents(edge, marks).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in got), key=key) == sorted(want, key=key)
+    assert all(math.isfinite(r.score) for r in lm_score.score_documents(edge, marks.filter("doc_id > 999")).collect())
+    assert lm_score.score_documents(empty, marks).count() == 0
+
+
+# --- benchmark decontamination ---------------------------------------------
+
+ITEMS = [(1, "If Anna has 12 apples and Anna gives 5 apples to Tom, how many of the 12 apples does she keep at home today?"),
+         (2, "The old mill stands beside a narrow river and grinds the grain of seven villages every autumn."), (3, None), (4, "too short")]
+LEAKS = [
+    (1, "intro words here. " + ITEMS[0][1] + " and more text", "verbatim"),
+    (2, "intro. If Mary has 30 apples and Mary gives 7 apples to Jack, how many of the 30 apples does she keep at home today?", "reparameterised"),
+    (3, "intro. If Mary has 30 apples and Joan gives 7 apples to Jack, how many of the 99 apples does she keep at home today?", None),
+    (4, "unrelated text about mills and rivers and grain that says nothing of the kind at all, ever", None),
+    (5, "THE OLD MILL STANDS beside a narrow   river; and grinds the grain of\nseven villages every autumn", "verbatim"),
+    (6, "if anna has 12 apples and anna gives 5 apples to tom, how many of the 12 apples does she keep at home today?", "verbatim"),
+    (7, None, None), (8, "", None), (9, "too short", None), (None, "x. " + ITEMS[1][1], "verbatim"), (1, "another text of the same id", None),
+]
+
+
+def test_leaks_and_slots(spark, empty):
+    docs = make_docs(spark, [(i, t) for i, t, _ in LEAKS])
+    items = spark.createDataFrame([(i, t, "x") for i, t in ITEMS], "item_id long, text string, hash string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs, items).collect()}
+    assert got == {(1, 1): "verbatim", (2, 1): "reparameterised", (5, 2): "verbatim", (6, 1): "verbatim", (None, 2): "verbatim"}
+    clean = decontam.clean_documents(docs, items)
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t) for i, t, k in LEAKS if k is None)
+    assert decontam.leaks(empty, items).count() == 0 and decontam.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_leaks_without_broadcast(spark, monkeypatch):
+    docs = make_docs(spark, [(i, t) for i, t, _ in LEAKS])
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted(map(str, decontam.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_MATCHES", 0)
+    assert sorted(map(str, decontam.leaks(docs, items).collect())) == want
+
+
+def test_every_item_contained_in_a_document_is_found(spark):
+    con = duckdb.connect()
+    want = set(con.execute(f"SELECT doc_id, item_id FROM '{SF001}/documents.parquet' d, '{SF001}/benchmark.parquet' b "
+                           "WHERE contains(d.text, b.text)").fetchall())
+    got = {(r.doc_id, r.item_id) for r in queries.op10_decontamination(spark, SF001).collect()}
+    assert want and want <= got
+    # what is found beyond them shares most of an item's words in a row
+    assert len(got - want) <= 0.02 * len(want) + 1
+
+
+# --- mixing ----------------------------------------------------------------
+
+def test_mix_edge_rows_match_sql(spark, edge, empty):
+    con = duckdb.connect()
+    pdf = edge.select("doc_id", "text", "source").toPandas()
+    pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+    con.register("documents", pdf)
+    want = Counter(con.execute(mixing.taken_sql()).fetchall())
+    run = lambda: mixing.taken_words(mixing.mixture(edge)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    got = run()
+    assert Counter(map(tuple, got)) == want
+    assert Counter(map(tuple, run())) == want  # reruns agree
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    assert mixing.taken_words(mixing.mixture(empty)).count() == 0
+
+
+def test_mix_meets_its_targets(spark):
+    rows = queries.op2_source_mixing(spark, SF001).join(load(spark, SF001, "documents").select("doc_id", "source"), "doc_id")
+    per = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"),
+                                     F.sum("size").alias("size"), F.first("source_size").alias("source_size")).collect()
+    assert all(abs(r.taken - r.target) <= mixing.BLOCK_WORDS and r.size == r.source_size for r in per)
+    total = sum(r.size for r in per)
+    assert abs(sum(r.target for r in per) - 1.5 * total) < 1e-6 * total
+    assert rows.filter("taken > 2 * size").count() == 0
+
+
+def test_targets_reshare_the_excess():
+    def plain(sizes):
+        weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
+        wanted, full = 1.5 * sum(sizes), set()
+        while True:
+            left = wanted - sum(2 * sizes[i] for i in full)
+            open_ = [i for i in range(len(sizes)) if i not in full]
+            share = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+            over = {i for i in open_ if share[i] > 2 * sizes[i]}
+            if not over:
+                return [2.0 * sizes[i] if i in full else share[i] for i in range(len(sizes))]
+            full |= over
+    from tablekeep.session import local_session
+    spark = local_session()
+    rng = random.Random(6)
+    for _ in range(3):
+        sizes = [rng.choice([0, 1, 5, 100, 5000]) + rng.randint(1, 9) for _ in range(rng.randint(1, 12))]
+        df = spark.createDataFrame([(f"s{i:02d}", s) for i, s in enumerate(sizes)], "source string, size long")
+        got = [r.target for r in mixing.source_targets(df).orderBy("sidx").collect()]
+        assert got == pytest.approx(plain(sizes))
+
+
+def test_permutation_is_a_bijection(spark):
+    for n in (1, 2, 7, 100, 4097):
+        df = spark.range(n).select("id", F.lit(n).cast("long").alias("n"), F.lit(3).cast("long").alias("s"))
+        df = df.withColumn("keys", mixing.round_keys("s", "n", 2))
+        for p in (0, 1):
+            got = [r.x for r in df.select(mixing.permuted("id", "n", F.get("keys", F.lit(p))).alias("x")).collect()]
+            assert sorted(got) == list(range(n))
+
+
+# --- WARC ------------------------------------------------------------------
+
+PAGES = [(1, "http://a/1", "<p>one</p>"), (2, "http://a/2", "<p>one</p>"), (3, None, None), (4, "u\r\nv w", ""), (5, "http://ü/5", "é\r\n\r\nWARC/1.1\r\n\x00"),
+         (6, "http://a/6", "x" * 200_000), (7, "http://a/7", "x" * 200_000), (8, "http://a/8", "z"), (8, "http://a/8", "z"), (None, "http://a/n", "z"), (None, "n", "q")]
+
+
+def pages(spark):
+    return spark.createDataFrame([(*p, "x", 1) for p in PAGES], "page_id long, url string, html string, payload string, offset int")
+
+
+def test_warc_round_trip_matches_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(p) for p in PAGES if "\x00" not in (p[2] or "")])
+    kept = pages(spark).filter("html is null or not contains(html, 'WARC')")
+    got = warc.round_trip(kept)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert Counter(map(tuple, got.select(columns).collect())) == Counter(con.execute(warc.ORACLE_SQL).fetchall())
+    assert got.filter("not payload_ok").count() == 0
+
+
+def test_warc_members_and_index(spark, tmp_path):
+    import gzip
+    import zlib
+    warc.write_archives(pages(spark).repartition(2), f"{tmp_path}/m", records_per_file=3)
+    files = sorted((tmp_path / "m").glob("*.gz"))
+    assert all(zlib.decompressobj(31).decompress(f.read_bytes()) == gzip.decompress(f.read_bytes()) for f in files)  # one member each
+    index = warc.normalise(spark, f"{tmp_path}/m", f"{tmp_path}/n").collect()
+    assert len(index) == len(PAGES)
+    for f in files:  # the same content, member by member
+        name = f.name.removesuffix(".gz").removesuffix(".txt") + ".warc.gz"
+        assert gzip.decompress((tmp_path / "n" / "archives" / name).read_bytes()) == gzip.decompress(f.read_bytes())
+    seen = []
+    for r in index:
+        record = warc.read_record(f"{tmp_path}/n/archives/{r.archive}", r.offset, r.length)
+        assert record["page_id"] == r.page_id and record["record_type"] == r.record_type
+        seen.append((record["page_id"], record["payload"] if r.record_type == "response" else None))
+    html = {(i, (h or "").encode()) for i, _, h in PAGES}
+    assert all(p is None or (i, p) in html for i, p in seen)
+    back = warc.read_archives(spark, f"{tmp_path}/n/archives").collect()
+    assert {(r.archive, r.offset, r.length) for r in back} == {(r.archive, r.offset, r.length) for r in index}
+
+
+def test_warc_empty_and_threshold(spark):
+    assert warc.round_trip(pages(spark).limit(0)).count() == 0
+    kinds = Counter(r.record_type for r in warc.page_records(pages(spark), min_bytes=100).select(
+        F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type")).collect())
+    assert kinds["revisit"] == 1
+
+
+def test_broken_archives_are_refused():
+    import gzip
+    good = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    two = gzip.compress(good) + gzip.compress(good)
+    assert list(warc.split_records(warc.inflate(two))) == [good, good]
+    for bad in (gzip.compress(good[:-5]), gzip.compress(good)[:-9], gzip.compress(b"HTTP\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(warc.split_records(warc.inflate(bad)))
+
+
+# --- registry --------------------------------------------------------------
+
+def test_registry():
+    names = [n for n in entry.queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11))
+    assert "pipeline" in entry.queries() and len(PROSE.split()) > 10
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+    res = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in res.description]
+    got = entry.queries()[name](spark, SF001).select(columns).collect()
+    assert Counter(map(tuple, got)) == Counter(res.fetchall())
