@@ -14,6 +14,8 @@ INSERT_TUPLE_SEPARATOR = ",\n"
 VALUE_SEPARATOR = ", "
 NULL_LITERAL = "NULL"
 DEFAULT_CHUNK_ROWS = 1000
+# Names of the gzip levels in the codec's setting.
+GZIP_LEVELS = {1: "BEST_SPEED", 2: "TWO", 3: "THREE", 4: "FOUR", 5: "FIVE", 6: "SIX", 7: "SEVEN", 8: "EIGHT", 9: "BEST_COMPRESSION"}
 
 # The seven characters a MySQL-compatible string escape rewrites, in the order
 # applied (the backslash must go first).
@@ -28,7 +30,7 @@ STRING_ESCAPES = [
 ]
 
 # Text accepted as a numeric literal.
-NUMERIC_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMERIC_PATTERN = r"\A[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 # --- Fixed values: object keys -----------------------------------------------
 BACKUP_FOLDER = "backups/database/"
@@ -40,7 +42,7 @@ SAFE_NAME_FALLBACK = "database"
 KEY_DATE_PATH = "yyyy/MM/dd"
 KEY_TIMESTAMP = "yyyyMMdd-HHmmss"
 ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ssxxx"
-DISPLAY_PATTERN = "yyyy-MM-dd HH:mm z"
+DISPLAY_PATTERN = "yyyy-MM-dd HH:mm"  # and the abbreviation of the zone
 
 # --- Fixed values: schedule, lock and history --------------------------------
 DAILY_RUN_HOUR = 3
@@ -51,7 +53,9 @@ SCHEDULE_DAILY = "daily"
 SCHEDULE_VALUES = ["disabled", "daily"]
 SETTING_KEY_STRIP = "[^a-z0-9_\\-]"
 KEEP_DISABLED = 0
-KEEP_COUNT_PATTERN = r"^\+?[1-9][0-9]*$|^0$"
+KEEP_COUNT_PATTERN = r"\+?[1-9][0-9]*|0"  # the whole text
+# Characters trimmed from settings, prefixes and keys.
+TRIM_CHARACTERS = " \t\n\r\0\x0b"
 MAX_KEEP = 9223372036854775807
 
 # --- Fixed values: labels and messages ---------------------------------------
@@ -79,6 +83,8 @@ MSG_RETENTION_FAILED = "Retention cleanup failed; the new backup was preserved."
 ERR_UPLOAD_DENIED = "Access denied while uploading backup to Amazon S3."
 ERR_BUCKET_MISSING = "The configured S3 bucket was not found."
 ERR_UPLOAD_OTHER = "Amazon S3 backup upload failed."
+ERR_TEST_DENIED = "Access denied while testing S3 object operations."
+ERR_TEST_OTHER = "Unable to complete the S3 connection test."
 ERR_DENIED_CODE = "AccessDenied"
 ERR_BUCKET_CODE = "NoSuchBucket"
 

@@ -3,10 +3,14 @@ IANA zone name."""
 
 from __future__ import annotations
 
+import zoneinfo
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .literals import utc_text
 
 
 def _col(c) -> Column:
@@ -38,13 +42,35 @@ def epoch_seconds(c) -> Column:
 
 
 def display_time(ts, tz: str) -> Column:
-    """``yyyy-MM-dd HH:mm <zone>`` of an instant in zone ``tz``."""
-    local = F.from_utc_timestamp(as_instant(ts), tz)
-    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm"), F.lit(" "), F.lit(zone_label(tz)))
-
-
-def zone_label(tz: str) -> str:
-    return "UTC" if tz.upper() in ("UTC", "Z", "ETC/UTC", "GMT", "+00:00") else tz
+    """``yyyy-MM-dd HH:mm <zone abbreviation>`` of an instant in zone ``tz``."""
+    utc = utc_wall(as_instant(ts))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
+    return F.concat(F.date_format(local, K.DISPLAY_PATTERN), F.lit(" "), zone_abbreviation(utc, local, tz))
+
+
+def utc_wall(instant) -> Column:
+    """The UTC wall-clock time of an instant, whatever the session zone."""
+    return utc_text(instant).cast("timestamp_ntz")
+
+
+def zone_abbreviation(utc, local, tz: str) -> Column:
+    """``CET`` or ``CEST``: the zone's own abbreviation for the offset it has
+    at that time (the latest one the zone uses for the offset), or the
+    offset's text for a zone without a name."""
+    try:
+        zone = zoneinfo.ZoneInfo(tz)
+    except (zoneinfo.ZoneInfoNotFoundError, ValueError):
+        return F.lit("UTC" if tz.upper() in ("Z", "+00:00") else tz)
+    names: dict[int, str] = {}
+    for year in range(1970, 2038):  # the abbreviation of each offset the zone has had
+        for month in range(1, 13):
+            at = datetime(year, month, 1, tzinfo=timezone.utc).astimezone(zone)
+            names[int(at.utcoffset().total_seconds())] = at.tzname()
+    gap = F.timestamp_diff("SECOND", utc, local)
+    out = None
+    for offset, name in sorted(names.items()):
+        out = F.when(gap == offset, F.lit(name)) if out is None else out.when(gap == offset, F.lit(name))
+    return out.otherwise(F.lit(tz))
 
 
 def history_date(text, tz: str = "UTC", unparsed: str = "raw") -> Column:

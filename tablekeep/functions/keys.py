@@ -22,14 +22,14 @@ def safe_name(c) -> Column:
 
 
 def normalise_prefix(c) -> Column:
-    """C11: whitespace trimmed, then ``/`` trimmed on both sides; ``''`` means
+    """C11: white space and NUL trimmed, then ``/`` trimmed on both sides; ``''`` means
     no prefix. One rule for writing and for listing (the part ``0`` is kept)."""
-    return F.btrim(F.trim(F.coalesce(_col(c), F.lit(""))), F.lit("/"))
+    return F.btrim(F.btrim(F.coalesce(_col(c), F.lit("")), F.lit(K.TRIM_CHARACTERS)), F.lit("/"))
 
 
 def normalise_key(c) -> Column:
-    """Whitespace trimmed, leading ``/`` removed."""
-    return F.ltrim(F.trim(_col(c)), F.lit("/"))
+    """White space and NUL trimmed, leading ``/`` removed."""
+    return F.ltrim(F.btrim(_col(c), F.lit(K.TRIM_CHARACTERS)), F.lit("/"))
 
 
 def backup_prefix(prefix) -> Column:

@@ -93,6 +93,26 @@ _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def utc_text(c) -> Column:
+    """Text of an instant as UTC wall-clock time, whatever the session zone."""
+    days = F.floor(F.unix_micros(c) / F.lit(86_400_000_000)).cast("int")
+    rest = F.unix_micros(c) - days.cast("long") * 86_400_000_000
+    seconds = (rest.cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(18,6)")
+    return (F.expr(_EPOCH) + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)).cast("string")
+
+
+def from_utc_text(c) -> Column:
+    """The instant of a UTC wall-clock text, whatever the session zone."""
+    gap = c.cast("timestamp_ntz") - F.expr(_EPOCH)
+    days = F.extract(F.lit("DAY"), gap).cast("long")
+    seconds = F.extract(F.lit("HOUR"), gap).cast("long") * 3600 + F.extract(F.lit("MINUTE"), gap).cast("long") * 60
+    micros = (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("long")
+    return F.timestamp_micros((days * 86_400 + seconds) * 1_000_000 + micros)
+
+
 def render_value(c, dtype: T.DataType, dialect: Dialect = EXACT) -> Column:
     """Literal text of a non-null value of Spark type ``dtype``."""
     c = _col(c)
@@ -108,8 +128,12 @@ def render_value(c, dtype: T.DataType, dialect: Dialect = EXACT) -> Column:
         return F.when(c, F.lit("1")).otherwise(F.lit("0"))
     if isinstance(dtype, T.BinaryType):
         return binary_literal(c)
+    if isinstance(dtype, T.TimestampType):
+        return string_literal(utc_text(c))
     if isinstance(dtype, _TIMES):
         return string_literal(c.cast("string"))
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.FloatType, T.DoubleType)) and dialect.float_mode == "plain10":
+        return F.concat(F.lit("'["), F.array_join(F.transform(c, dialect.float_text), ","), F.lit("]'"))
     if isinstance(dtype, _NESTED):
         return string_literal(F.to_json(c))
     if isinstance(dtype, T.NullType):

@@ -95,8 +95,8 @@ def normalise_settings(df: DataFrame, options: str = "options") -> DataFrame:
     sched = F.when(sched.isin(*K.SCHEDULE_VALUES), sched).otherwise(F.lit(K.SCHEDULE_DISABLED))
     rest = [c for c in df.columns if c != options]
     return df.select(*rest,
-                     F.trim(get("region")).alias("region"),
-                     F.trim(get("bucket")).alias("bucket"),
-                     F.trim(get("prefix")).alias("prefix"),
+                     F.btrim(get("region"), F.lit(K.TRIM_CHARACTERS)).alias("region"),
+                     F.btrim(get("bucket"), F.lit(K.TRIM_CHARACTERS)).alias("bucket"),
+                     F.btrim(get("prefix"), F.lit(K.TRIM_CHARACTERS)).alias("prefix"),
                      sched.alias("backup_schedule"),
                      keep_count(F.element_at(F.col(options), F.lit("retention_keep_count"))).alias("retention_keep_count"))

@@ -3,19 +3,20 @@
 ``row_number() OVER (PARTITION BY g ORDER BY o)`` puts every row of a group in
 one task, and with no ``g`` it puts the whole table in one task. Here the rows
 are cut into range buckets of the sort order first, so a hot group is spread
-over many buckets:
+over many buckets. One method at every size:
 
-1. bounds: a one-pass uniform sample of the sort key (smallest random
-   tags), sorted by Spark, every k-th value kept (bounded by
-   ``buckets * SAMPLE_PER_BUCKET`` rows);
-2. bucket = a balanced CASE tree over the bounds: a pure function of the row,
+1. bounds: a row sample of the sort key at a fraction that gives about
+   ``buckets * SAMPLE_PER_BUCKET`` rows in all, each task sending only its
+   share; every k-th value is a bound;
+2. bucket = binary search in the array of bounds: a pure function of the row,
    so every re-run of a task puts a row in the same bucket (no checkpoint
-   needed, no dependence on a shuffle's sampling);
+   needed, no dependence on a shuffle's sampling) and the number of buckets
+   may grow with the data;
 3. a local ``row_number`` per (bucket, group): one hash shuffle on the bucket;
-4. counts per (bucket, group), and for each group the rows it has in earlier
-   buckets. Only a group that crosses a bucket boundary has such an offset,
-   so the offset table has fewer rows than there are buckets and is broadcast
-   with a proven bound.
+4. counts per (bucket, group) with map-side combine, and for each group the
+   rows it has in earlier buckets. Only a group that crosses a bucket boundary
+   has such an offset, so the offset table has fewer rows than there are
+   buckets and is broadcast with a proven bound.
 """
 
 from __future__ import annotations
@@ -25,14 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
-# Largest CASE tree used to assign buckets. Beyond it, an ungrouped row
-# number materialises one range shuffle with a reliable checkpoint instead.
-MAX_TREE_BUCKETS = 4096
-
 _RB = "__rb"
 _LRN = "__lrn"
 _OFF = "__off"
 _CNT = "__cnt"
+_KEY = "__key"
 
 
 def _default_buckets(spark) -> int:
@@ -41,14 +39,13 @@ def _default_buckets(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi] for ``key``: number of bounds <= key."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    # bounds[mid - 1] separates bucket mid - 1 from bucket mid
-    return F.when(key < bounds[mid - 1], _tree(key, bounds, lo, mid - 1)) \
-        .otherwise(_tree(key, bounds, mid, hi))
+def _bounds_below(key: Column, bounds: Column, n: int) -> Column:
+    """Number of the ``n`` sorted bounds that are <= ``key``: binary search."""
+    steps = [1 << k for k in range(max(n, 1).bit_length() - 1, -1, -1)]
+
+    def step(pos: Column, s: Column) -> Column:
+        return F.when((pos + s <= n) & (F.get(bounds, pos + s - 1) <= key), pos + s).otherwise(pos)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
 def _literal_struct(values, fields) -> Column:
@@ -59,27 +56,28 @@ def range_bucket(df: DataFrame, sort_cols: list[str], buckets: int, seed: int =
     """Add ``__rb``: a deterministic range bucket of ``struct(sort_cols)``
     (ascending). Returns the frame and the number of buckets used.
 
-    The bounds come from a uniform sample taken in one pass: the rows with
-    the smallest random tags (a per-task top-K merged once, so the sample is
-    bounded by ``buckets * SAMPLE_PER_BUCKET`` rows whatever the input size)."""
+    The bounds come from a row sample of about ``buckets *
+    SAMPLE_PER_BUCKET`` keys; no task holds more than its share of it."""
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(sort_cols)])
     if buckets <= 1:
         return df.withColumn(_RB, F.lit(0)), 1
-    k = buckets * SAMPLE_PER_BUCKET
-    sample = df.select(key.alias("k"), F.rand(seed).alias("r")).orderBy("r").limit(k)
-    rows = [r[0] for r in sample.orderBy("k").collect()]
-    if not rows:
-        return df.withColumn(_RB, F.lit(0)), 1
+    keyed = df.select(key.alias("k"))
+    total = keyed.count()
+    rows = [r[0] for r in keyed.sample(False, min(1.0, buckets * SAMPLE_PER_BUCKET / max(1, total)), seed).sort("k").collect()]
     step = len(rows) / buckets
     cuts = []
     for i in range(1, buckets):
+        if not rows:
+            break
         v = rows[min(len(rows) - 1, int(i * step))]
         if not cuts or v != cuts[-1]:
             cuts.append(v)
-    fields = df.select(key.alias("k")).schema["k"].dataType.fields
-    bounds = [_literal_struct(tuple(v), fields) for v in cuts]
-    n = len(bounds) + 1
-    return df.withColumn(_RB, _tree(key, bounds, 0, n - 1)), n
+    if not cuts:
+        return df.withColumn(_RB, F.lit(0)), 1
+    fields = keyed.schema["k"].dataType.fields
+    bounds = F.array(*[_literal_struct(tuple(v), fields) for v in cuts])
+    bucketed = df.withColumn(_KEY, key).withColumn(_RB, _bounds_below(F.col(_KEY), bounds, len(cuts)))
+    return bucketed.drop(_KEY), len(cuts) + 1
 
 
 def _direction_prefix(order: list[tuple[str, bool]]) -> tuple[list[str], bool]:
@@ -94,27 +92,15 @@ def _direction_prefix(order: list[tuple[str, bool]]) -> tuple[list[str], bool]:
 
 
 def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]],
-               out: str = "rn", buckets: int | None = None, method: str = "auto") -> DataFrame:
+               out: str = "rn", buckets: int | None = None) -> DataFrame:
     """Exact ``row_number() OVER (PARTITION BY partition_by ORDER BY order_by)``
     (1-based) with no group and no table in a single task.
 
     ``order_by`` holds ``(column, descending)`` pairs. Descending sorts put
     nulls last, ascending nulls first, as Spark does by default. The order
     should be unique within a group, or ties are numbered arbitrarily.
-
-    ``method``: ``tree`` (range buckets from a CASE tree, no checkpoint, at
-    most ``MAX_TREE_BUCKETS`` buckets), ``checkpoint`` (whole table only: any
-    number of range partitions, one reliable checkpoint) or ``auto``.
     """
-    spark = df.sparkSession
-    buckets = buckets or _default_buckets(spark)
-    if method == "auto":
-        method = "checkpoint" if (not partition_by and buckets > MAX_TREE_BUCKETS) else "tree"
-    if method == "checkpoint":
-        if partition_by:
-            raise ValueError("the checkpoint method numbers a whole table; use method='tree' with groups")
-        return _row_number_checkpointed(df, order_by, out, buckets)
-    buckets = min(buckets, MAX_TREE_BUCKETS)
+    buckets = buckets or _default_buckets(df.sparkSession)
     prefix, desc = _direction_prefix(order_by)
     # Any order of the groups works as long as each group's rows are
     # contiguous, so the groups take the direction of the sort prefix.
@@ -127,10 +113,10 @@ def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str,
     w = Window.partitionBy(_RB, *partition_by).orderBy(*sort)
     local = bucketed.withColumn(_LRN, F.row_number().over(w))
 
-    # Counts per (bucket, group). This branch reads only the bucket and group
-    # columns (Spark prunes the rest), so its second pass over the input is
-    # narrow; the bucket is a pure function of the row, so both passes agree.
-    counts = local.groupBy(_RB, *partition_by).agg(F.max(_LRN).cast("long").alias(_CNT))
+    # Counts per (bucket, group), combined on the map side. This branch reads
+    # only the sort and group columns (Spark prunes the rest); the bucket is a
+    # pure function of the row, so both passes agree.
+    counts = bucketed.groupBy(_RB, *partition_by).agg(F.count(F.lit(1)).alias(_CNT))
     w_off = Window.partitionBy(*partition_by).orderBy(_RB) \
         .rowsBetween(Window.unboundedPreceding, -1) if partition_by else \
         Window.orderBy(_RB).rowsBetween(Window.unboundedPreceding, -1)
@@ -147,37 +133,3 @@ def row_number(df: DataFrame, partition_by: list[str], order_by: list[tuple[str,
     return joined.withColumn(out, (F.col(_LRN) + F.coalesce(F.col(_OFF), F.lit(0))).cast("long")) \
         .drop(_LRN, _OFF, _RB, "__o_rb", *[f"__o_{i}" for i in range(len(partition_by))])
 
-
-def _row_number_checkpointed(df: DataFrame, order_by: list[tuple[str, bool]], out: str,
-                             partitions: int) -> DataFrame:
-    """Whole-table row number over any number of range partitions.
-
-    Spark's range partitioner binary-searches its bounds, so the partition
-    count has no practical limit, but its sample differs between executions.
-    The sorted partitions are therefore written once as a reliable
-    checkpoint in the shared folder; positions and per-partition counts both
-    come from that copy. The offset table has one row per partition."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    sort = [F.col(c).desc() if d else F.col(c).asc() for c, d in order_by]
-    ranged = df.repartitionByRange(partitions, *sort).sortWithinPartitions(*sort).checkpoint(eager=True)
-    pid = F.spark_partition_id()
-    # monotonically_increasing_id = (partition << 33) + position in partition
-    local = ranged.withColumn("__pid", pid).withColumn(
-        "__idx", F.monotonically_increasing_id() - F.shiftleft(F.col("__pid").cast("long"), 33))
-    counts = ranged.groupBy(pid.alias("__pid")).agg(F.count(F.lit(1)).alias(_CNT))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum(_CNT).over(w), F.lit(0)).alias(_OFF))
-    joined = local.join(F.broadcast(offsets), "__pid", "left")
-    return joined.withColumn(out, (F.coalesce(F.col(_OFF), F.lit(0)) + F.col("__idx") + 1).cast("long")) \
-        .drop("__pid", "__idx", _OFF)
-
-
-def top_n(df: DataFrame, partition_by: list[str], order_by: list[tuple[str, bool]], n: int,
-          out: str = "rn") -> DataFrame:
-    """Rows with ``row_number <= n`` per group. ``rn <= n`` over a window lets
-    Spark insert a partial group limit before the shuffle, so at most ``n``
-    rows per group leave each map task: a hot group costs nothing extra."""
-    sort = [F.col(c).desc() if d else F.col(c).asc() for c, d in order_by]
-    w = (Window.partitionBy(*partition_by) if partition_by else Window.partitionBy()).orderBy(*sort)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)

@@ -1,9 +1,9 @@
 """Comparing a source with its restore: table lists, schemas, row multisets.
 
-Row multisets are compared without sorting anything: each side is reduced to
-``(fingerprint, count)`` with a map-side partial count (so a row repeated a
-billion times costs one row per task), and the two sides are joined on the
-fingerprint. ``exceptAll`` both ways is offered as the plain form.
+Row multisets are compared without sorting or joining anything: both sides
+are one union of fingerprints, counted per side in a single aggregate with a
+map-side partial count (a row repeated a billion times costs one row per
+task). ``exceptAll`` both ways is offered as the plain form.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import row_fingerprint
 from ..functions.literals import EXACT, Dialect
-from ..session import spread
 
 
 def diff_tables(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -32,12 +31,6 @@ def diff_schema(a: DataFrame, b: DataFrame, cols: list[str] | None = None) -> Da
             .unionByName(b.exceptAll(a).withColumn("side", F.lit("restore_only"))))
 
 
-def fingerprint_counts(df: DataFrame, dialect: Dialect = EXACT) -> DataFrame:
-    df = spread(df)
-    return df.select(row_fingerprint(df, dialect=dialect).alias("fingerprint")) \
-        .groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
-
-
 def diff_rows(a: DataFrame, b: DataFrame, method: str = "fingerprint",
               dialect: Dialect = EXACT) -> DataFrame:
     """Where the row multisets differ.
@@ -50,12 +43,12 @@ def diff_rows(a: DataFrame, b: DataFrame, method: str = "fingerprint",
         b = b.select(*cols)
         return (a.exceptAll(b).withColumn("side", F.lit("source_only"))
                 .unionByName(b.exceptAll(a).withColumn("side", F.lit("restore_only"))))
-    fa = fingerprint_counts(a, dialect).withColumnRenamed("n", "source_count")
-    fb = fingerprint_counts(b, dialect).withColumnRenamed("n", "restore_count")
-    j = fa.join(fb, "fingerprint", "full_outer")
-    sc = F.coalesce(F.col("source_count"), F.lit(0)).cast("long")
-    rc = F.coalesce(F.col("restore_count"), F.lit(0)).cast("long")
-    return j.select("fingerprint", sc.alias("source_count"), rc.alias("restore_count")).filter(sc != rc)
+    def side(df: DataFrame, source: int) -> DataFrame:
+        return df.select(row_fingerprint(df, dialect=dialect).alias("fingerprint"),
+                         F.lit(source).cast("long").alias("s"), F.lit(1 - source).cast("long").alias("r"))
+    both = side(a, 1).unionByName(side(b, 0))
+    return (both.groupBy("fingerprint").agg(F.sum("s").alias("source_count"), F.sum("r").alias("restore_count"))
+            .filter("source_count <> restore_count"))
 
 
 def diff_summary(a: DataFrame, b: DataFrame, table: str, dialect: Dialect = EXACT) -> DataFrame:

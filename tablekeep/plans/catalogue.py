@@ -22,9 +22,19 @@ from ..sources import catalog, dump, history_store, objects
 from . import derived, reports
 from .derived import HISTORY_SQL, JOBS_SQL, LISTING_SQL, LISTING_TEXT_SQL, SETTINGS_SQL, load
 
+COLUMNS_OF = {
+    "benchmark": ["item_id", "text"], "conversations": ["conv_id", "turn", "role", "text"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"], "embeddings": ["vec_id", "embedding", "label"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "labels": ["doc_id", "quality", "toxic"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "pages": ["page_id", "url", "html"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}
 TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels",
           "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
-SMALL = ["nation", "region", "supplier"]
 NOW = "2024-01-15 12:00:00"
 KEEP = 5
 PREFIX = "site"
@@ -71,9 +81,11 @@ def sql_plain10(x: str) -> str:
 
 
 def sql_lit(x: str, kind: str) -> str:
-    """Literal of column ``x``: kind int | double | str | ts."""
+    """Literal of column ``x``: kind int | double | str | ts | floats."""
     r = {"int": f"CAST({x} AS VARCHAR)", "double": sql_plain10(x), "str": sql_str(x),
-         "ts": sql_str(f"CAST({x} AS VARCHAR)")}[kind]
+         "ts": sql_str(f"CAST({x} AS VARCHAR)"),
+         "floats": "(chr(39) || '[' || array_to_string(list_transform(" + x + ", lambda f: " + sql_plain10("f")
+                   + "), ',') || ']' || chr(39))"}[kind]
     return sql_null(x, r)
 
 
@@ -86,9 +98,6 @@ ORDERS_COLS = [("o_orderkey", "int"), ("o_custkey", "int"), ("o_orderstatus", "s
 LINEITEM_COLS = [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"),
                  ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"),
                  ("l_tax", "double"), ("l_returnflag", "str"), ("l_linestatus", "str"), ("l_shipdate", "ts")]
-NATION_COLS = [("n_nationkey", "int"), ("n_name", "str"), ("n_regionkey", "int")]
-REGION_COLS = [("r_regionkey", "int"), ("r_name", "str")]
-SUPPLIER_COLS = [("s_suppkey", "int"), ("s_name", "str"), ("s_nationkey", "int"), ("s_acctbal", "double")]
 
 SQL_BASENAME = "regexp_extract(rtrim({k}, '/'), '[^/]*$')"
 
@@ -116,8 +125,10 @@ SELECT bucket, key, size_bytes, last_modified,
 FROM ({SQL_NORMALISED_LISTING}) n
 """
 
-SQL_KEEP = (r"(CASE WHEN regexp_full_match(trim({x}), '\+?[1-9][0-9]*|0') "
-            r"THEN coalesce(TRY_CAST(trim({x}) AS BIGINT), 0) ELSE 0 END)")
+# the trimmed characters: blank, tab, LF, CR, NUL, VT
+SQL_TRIM_CHARS = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
+SQL_KEEP = (r"(CASE WHEN regexp_full_match(trim({x}, " + SQL_TRIM_CHARS + r"), '\+?[1-9][0-9]*|0') "
+            r"THEN coalesce(TRY_CAST(trim({x}, " + SQL_TRIM_CHARS + r") AS BIGINT), 0) ELSE 0 END)")
 
 SQL_SCHEDULE = ("(CASE WHEN regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9_\\-]', '', 'g') IN ('disabled', 'daily') "
                 "THEN regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9_\\-]', '', 'g') ELSE 'disabled' END)")
@@ -147,10 +158,11 @@ def sql_size_label(x: str) -> str:
 
 def q_table_catalog(spark, d):
     _prep(spark)
-    return catalog.list_base_tables(spark, _src(spark, d))
+    src = _src(spark, d)
+    return catalog.list_base_tables(spark, src).join(catalog.table_row_counts(src.tables()), "table_name")
 
 
-SQL_TABLE_CATALOG = ("SELECT DISTINCT table_name, 'BASE TABLE' AS table_type FROM information_schema.tables "
+SQL_BASE_TABLES = ("SELECT DISTINCT table_name, 'BASE TABLE' AS table_type FROM information_schema.tables "
                      "WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")")
 
 
@@ -161,6 +173,10 @@ def q_table_row_counts(spark, d):
 
 SQL_TABLE_ROW_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
 
+SQL_VALUES = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS name, count(*) AS row_count, count({c}) AS value_count FROM {t}"
+    for t, cols in COLUMNS_OF.items() for c in cols)
+
 SQL_COLUMNS = """
 SELECT DISTINCT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name AS name,
   CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
@@ -176,14 +192,29 @@ SELECT DISTINCT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column
 FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in TABLES) + ")"
 
 
+def _row_values(spark, d) -> DataFrame:
+    """``table_name, name, row_count, value_count`` of every column: rows and
+    non-null values, one aggregate per table."""
+    out = None
+    for t, df in _src(spark, d).tables().items():
+        one = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(c)).alias(c) for c in df.columns])
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value_count")) for c in df.columns]))
+        part = one.select(F.lit(t).alias("table_name"), F.col("__rows").alias("row_count"), cells.alias("x")) \
+            .select("table_name", "row_count", "x.name", "x.value_count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def q_column_metadata(spark, d):
     _prep(spark)
-    return catalog.column_metadata(spark, _src(spark, d).tables()).drop("spark_type")
+    cols = catalog.column_metadata(spark, _src(spark, d).tables()).drop("spark_type")
+    return cols.join(_row_values(spark, d), ["table_name", "name"])
 
 
 def q_table_ddl(spark, d):
     _prep(spark)
-    return catalog.table_ddl(catalog.column_metadata(spark, _src(spark, d).tables()))
+    src = _src(spark, d)
+    return catalog.table_ddl(catalog.column_metadata(spark, src.tables())).join(catalog.table_row_counts(src.tables()), "table_name")
 
 
 SQL_TABLE_DDL = f"""
@@ -197,8 +228,8 @@ FROM ({SQL_COLUMNS}) c GROUP BY table_name
 
 def q_create_sections(spark, d):
     _prep(spark)
-    ddl = catalog.table_ddl(catalog.column_metadata(spark, _src(spark, d).tables()))
-    return ddl.select("table_name", F.concat(F.lit("DROP TABLE IF EXISTS "), literals.quote_identifier("table_name"),
+    ddl = q_table_ddl(spark, d)
+    return ddl.select("table_name", "row_count", F.concat(F.lit("DROP TABLE IF EXISTS "), literals.quote_identifier("table_name"),
                                              F.lit(";\n"), F.col("ddl"), F.lit(";\n")).alias("value"))
 
 
@@ -299,37 +330,50 @@ def q_insert_statements(spark, d):
     return chunks.insert_statements(load(spark, d, "orders"), "orders", ["o_orderkey"], 1000, PLAIN10)
 
 
-def _sql_inserts(table: str, cols, key: str, size: int = 1000) -> str:
+def _sql_inserts(table: str, cols, key: list[str], size: int = 1000) -> str:
     header = f"INSERT INTO `{table}` (" + ", ".join(f"`{c}`" for c, _ in cols) + ") VALUES"
     return f"""
-SELECT chunk_id, '{header}' || chr(10) || string_agg(tup, ',' || chr(10) ORDER BY k) || ';' || chr(10) AS value
-FROM (SELECT {key} AS k, (row_number() OVER (ORDER BY {key}) - 1) // {size} AS chunk_id, {sql_tuple(cols)} AS tup
-      FROM {table}) t
+SELECT chunk_id, '{header}' || chr(10) || string_agg(tup, ',' || chr(10) ORDER BY rn) || ';' || chr(10) AS value
+FROM (SELECT rn, (rn - 1) // {size} AS chunk_id, tup
+      FROM (SELECT row_number() OVER (ORDER BY {', '.join(key)}) AS rn, {sql_tuple(cols)} AS tup FROM {table}) u) t
 GROUP BY chunk_id
 """
 
 
-SQL_INSERT_STATEMENTS = _sql_inserts("orders", ORDERS_COLS, "o_orderkey")
+SQL_INSERT_STATEMENTS = _sql_inserts("orders", ORDERS_COLS, ["o_orderkey"])
 
 GENERATED = "2024-01-15T12:00:00+00:00"
-SMALL_KEYS = {"nation": ["n_nationkey"], "region": ["r_regionkey"], "supplier": ["s_suppkey"]}
+#: The literal kind of every column, and a unique key, of every table.
+KINDS = {
+    "benchmark": ("int str", ["item_id"]), "conversations": ("int int str str", ["conv_id", "turn"]),
+    "customer": ("int str int double str", ["c_custkey"]), "documents": ("int str str str int", ["doc_id"]),
+    "embeddings": ("int floats int", ["vec_id"]), "events": ("int ts int str double str", ["event_id"]),
+    "labels": ("int int int", ["doc_id"]),
+    "lineitem": ("int int int int double double double double str str ts", ["l_orderkey", "l_linenumber"]),
+    "nation": ("int str int", ["n_nationkey"]), "orders": ("int int str double ts str", ["o_orderkey"]),
+    "pages": ("int str str", ["page_id"]), "part": ("int str str str int double", ["p_partkey"]),
+    "region": ("int str", ["r_regionkey"]), "supplier": ("int str int double", ["s_suppkey"])}
+KEYS = {t: k for t, (_, k) in KINDS.items()}
+
+
+def _dump_in_key_order(spark, d):
+    return dump.dump_lines(_tables(spark, d, TABLES), GENERATED, 1000, KEYS, PLAIN10)
 
 
 def q_dump_lines(spark, d):
     _prep(spark)
-    return dump.dump_lines(_tables(spark, d, SMALL), GENERATED, 1000, SMALL_KEYS, PLAIN10)
+    return _dump_in_key_order(spark, d)
 
 
 def _sql_dump_lines() -> str:
     header = (f"'{K.DUMP_TITLE}' || chr(10) || '{K.DUMP_GENERATED}{GENERATED}' || chr(10) || chr(10) || "
               f"'SET NAMES utf8mb4;' || chr(10) || 'SET FOREIGN_KEY_CHECKS=0;' || chr(10)")
     parts = [f"SELECT CAST(NULL AS VARCHAR) AS table_name, 0 AS section, CAST(0 AS BIGINT) AS chunk_id, {header} AS value"]
-    parts.append(f"SELECT table_name, 1 AS section, CAST(0 AS BIGINT) AS chunk_id, value FROM ({SQL_CREATE_SECTIONS}) c "
-                 f"WHERE table_name IN ('nation', 'region', 'supplier')")
-    for t, cols, k in [("nation", NATION_COLS, "n_nationkey"), ("region", REGION_COLS, "r_regionkey"),
-                       ("supplier", SUPPLIER_COLS, "s_suppkey")]:
+    parts.append(f"SELECT table_name, 1 AS section, CAST(0 AS BIGINT) AS chunk_id, value FROM ({SQL_CREATE_SECTIONS}) c")
+    for t, (kinds, key) in KINDS.items():
+        cols = list(zip(COLUMNS_OF[t], kinds.split()))
         parts.append(f"SELECT '{t}' AS table_name, 2 AS section, CAST(chunk_id AS BIGINT) AS chunk_id, value "
-                     f"FROM ({_sql_inserts(t, cols, k)}) i")
+                     f"FROM ({_sql_inserts(t, cols, key)}) i")
     parts.append(f"SELECT CAST(NULL AS VARCHAR), 3, CAST(0 AS BIGINT), '{K.DUMP_FOOTER}'")
     return " UNION ALL ".join(parts)
 
@@ -339,7 +383,7 @@ SQL_DUMP_LINES = _sql_dump_lines()
 
 def q_dump_size(spark, d):
     _prep(spark)
-    return dump.dump_size(dump.dump_lines(_tables(spark, d, SMALL), GENERATED, 1000, SMALL_KEYS, PLAIN10))
+    return dump.dump_size(_dump_in_key_order(spark, d))
 
 
 SQL_DUMP_SIZE = f"SELECT CAST(sum(strlen(value) + 1) AS BIGINT) AS size_bytes FROM ({SQL_DUMP_LINES}) x"
@@ -360,14 +404,21 @@ SELECT doc_id, CASE WHEN coalesce(s, '') = '' THEN 'database' ELSE s END AS safe
 """
 
 
+def _odd_url() -> F.Column:
+    """URLs with the white space around them that settings forms send."""
+    url, i = F.col("url"), F.col("page_id")
+    return (F.when(i % 3 == 0, F.concat(F.lit("\t/"), url, F.lit("/\r\n")))
+            .when(i % 3 == 1, F.concat(F.lit(" "), url, F.lit("\x00"))).otherwise(url))
+
+
 def q_prefix_normalise(spark, d):
     _prep(spark)
-    return load(spark, d, "pages").select("page_id", keys.normalise_prefix("url").alias("prefix"))
+    return load(spark, d, "pages").select("page_id", keys.normalise_prefix(_odd_url()).alias("prefix"))
 
 
 def q_key_normalise(spark, d):
     _prep(spark)
-    return load(spark, d, "pages").select("page_id", keys.normalise_key("url").alias("key"))
+    return load(spark, d, "pages").select("page_id", keys.normalise_key(_odd_url()).alias("key"))
 
 
 def q_backup_key(spark, d):
@@ -473,9 +524,7 @@ def q_retention_antijoin(spark, d):
 
 def q_delete_summary(spark, d):
     _prep(spark)
-    cand = retention.retention_candidates(_listing(spark, d), KEEP)
-    return cand.groupBy("bucket").agg(F.count(F.lit(1)).alias("deleted_count"),
-                                      F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("deleted_bytes"))
+    return retention.delete_summary(retention.retention_candidates(_listing(spark, d), KEEP), by=["bucket"])
 
 
 SQL_DELETE_SUMMARY = f"""
@@ -576,55 +625,77 @@ SELECT *, 'restore_only' AS side FROM (SELECT * FROM ({SQL_CHANGED_LINEITEM}) c
 """
 
 
-def _small_dump(spark, d, names) -> str:
+def _whole_dump(spark, d, tables=None) -> str:
     path = scratch_path(spark, "dump")
-    dump.write_dump(_tables(spark, d, names), path, GENERATED)
+    dump.write_dump(tables or _tables(spark, d, TABLES), path, GENERATED)
     return path
 
 
+def _damaged(spark, d) -> dict[str, DataFrame]:
+    """The database with known damage: a table gone, one too many, a column
+    gone, a column of another type."""
+    t = _tables(spark, d, TABLES)
+    del t["region"]
+    t["extra"] = t["nation"]
+    t["labels"] = t["labels"].drop("toxic")
+    t["supplier"] = t["supplier"].withColumn("s_nationkey", F.col("s_nationkey").cast("string"))
+    return t
+
+
 def q_verify_tables(spark, d):
     _prep(spark)
-    path = _small_dump(spark, d, SMALL)
-    restored = dump.read_dump(spark, path)
+    restored = dump.read_dump(spark, _whole_dump(spark, d, _damaged(spark, d)))
     a = catalog.list_base_tables(spark, _src(spark, d))
     b = spark.createDataFrame([(n,) for n in sorted(restored)], "table_name string")
-    return verify.diff_tables(a, b)
+    counts = catalog.table_row_counts(_src(spark, d).tables() | {"extra": restored["extra"]})
+    return verify.diff_tables(a, b).join(counts, "table_name")
 
 
-SQL_VERIFY_TABLES = (f"SELECT table_name, 'source_only' AS side FROM ({SQL_TABLE_CATALOG}) c "
-                     "WHERE table_name NOT IN ('nation', 'region', 'supplier')")
+SQL_VERIFY_TABLES = ("SELECT 'region' AS table_name, 'source_only' AS side, count(*) AS row_count FROM region "
+                     "UNION ALL SELECT 'extra', 'restore_only', count(*) FROM nation")
 
 
 def q_verify_schema(spark, d):
     _prep(spark)
-    path = _small_dump(spark, d, SMALL)
-    restored = dump.read_dump(spark, path)
+    restored = dump.read_dump(spark, _whole_dump(spark, d, _damaged(spark, d)))
     a = catalog.column_metadata(spark, _src(spark, d).tables())
     b = catalog.column_metadata(spark, restored)
-    return verify.diff_schema(a, b)
-
-
-SQL_VERIFY_SCHEMA = (f"SELECT *, 'source_only' AS side FROM ({SQL_COLUMNS}) c "
-                     "WHERE table_name NOT IN ('nation', 'region', 'supplier')")
+    rows = catalog.table_row_counts(_src(spark, d).tables() | {"extra": restored["extra"]})
+    return verify.diff_schema(a, b).join(rows, "table_name")
+
+
+SQL_VERIFY_SCHEMA = f"""
+WITH c AS ({SQL_COLUMNS}),
+r AS (SELECT * FROM c WHERE table_name <> 'region' AND NOT (table_name = 'labels' AND name = 'toxic')
+      AND NOT (table_name = 'supplier' AND name = 's_nationkey')
+      UNION ALL SELECT 'extra', ordinal, name, data_type, column_type, character_set, nullable FROM c WHERE table_name = 'nation'
+      UNION ALL SELECT table_name, ordinal, name, 'longtext', 'longtext', 'utf8mb4', nullable FROM c
+                WHERE table_name = 'supplier' AND name = 's_nationkey'),
+n AS ({SQL_TABLE_ROW_COUNTS} UNION ALL SELECT 'extra', count(*) FROM nation)
+SELECT * FROM (SELECT *, 'source_only' AS side FROM (SELECT * FROM c EXCEPT ALL SELECT * FROM r) x
+  UNION ALL SELECT *, 'restore_only' AS side FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM c) y) z JOIN n USING (table_name)
+"""
 
 
 def q_restore_rows(spark, d):
     _prep(spark)
-    path = _small_dump(spark, d, ["documents"])
-    return dump.read_dump(spark, path)["documents"]
+    return dump.read_dump(spark, _whole_dump(spark, d))["documents"]
 
 
 def q_restore_verify(spark, d):
+    """Every table of the source against a restore in which one was damaged."""
     _prep(spark)
     from .export import restore_and_verify
-    names = ["documents", "embeddings", "lineitem", "pages"]
-    path = _small_dump(spark, d, names)
-    return restore_and_verify(spark, path, catalog.DictSource(spark, _tables(spark, d, names)))
+    tables = _tables(spark, d, TABLES)
+    tables["lineitem"] = _changed_lineitem(tables["lineitem"])
+    return restore_and_verify(spark, _whole_dump(spark, d, tables), _src(spark, d))
 
 
 SQL_RESTORE_VERIFY = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, true AS in_source, true AS in_restore, true AS schema_equal, "
-    f"CAST(0 * count(*) AS BIGINT) AS differing_rows FROM {t}" for t in ["documents", "embeddings", "lineitem", "pages"])
+    f"CAST(0 * count(*) AS BIGINT) AS differing_rows FROM {t}" for t in TABLES if t != "lineitem") + (
+    " UNION ALL SELECT 'lineitem', true, true, true, "
+    f"(SELECT CAST(sum(abs(source_count - restore_count)) AS BIGINT) FROM ({SQL_VERIFY_ROWS}) v)")
 
 
 def q_write_verify(spark, d):
@@ -713,7 +784,7 @@ def q_settings_normalise(spark, d):
 
 
 SQL_SETTINGS_NORMALISE = f"""
-SELECT c_custkey, trim(region) AS region, trim(bucket) AS bucket, trim(prefix) AS prefix,
+SELECT c_custkey, trim(region, {SQL_TRIM_CHARS}) AS region, trim(bucket, {SQL_TRIM_CHARS}) AS bucket, trim(prefix, {SQL_TRIM_CHARS}) AS prefix,
   {SQL_SCHEDULE.format(x='backup_schedule')} AS backup_schedule,
   {SQL_KEEP.format(x='retention_keep_count')} AS retention_keep_count
 FROM ({SETTINGS_SQL}) s
@@ -775,13 +846,17 @@ def q_error_class(spark, d):
     status = F.when(ev.event_id % 4 == 0, F.lit(403)).when(ev.event_id % 4 == 1, F.lit(404)) \
         .when(ev.event_id % 4 == 2, F.lit(500))
     code = F.when(ev.event_type == "error", F.lit("AccessDenied")).when(ev.event_type == "click", F.lit("NoSuchBucket"))
-    return ev.select("event_id", labels.error_class(status, code).alias("message"))
+    return ev.select("event_id", labels.error_class(status, code).alias("message"),
+                     labels.error_class(status, code, "test").alias("test_message"))
 
 
 SQL_ERROR_CLASS = f"""
 SELECT event_id, CASE WHEN coalesce(st, 0) = 403 OR coalesce(cd, '') = 'AccessDenied' THEN '{K.ERR_UPLOAD_DENIED}'
   WHEN coalesce(st, 0) = 404 OR coalesce(cd, '') = 'NoSuchBucket' THEN '{K.ERR_BUCKET_MISSING}'
-  ELSE '{K.ERR_UPLOAD_OTHER}' END AS message
+  ELSE '{K.ERR_UPLOAD_OTHER}' END AS message,
+  CASE WHEN coalesce(st, 0) = 403 OR coalesce(cd, '') = 'AccessDenied' THEN '{K.ERR_TEST_DENIED}'
+  WHEN coalesce(st, 0) = 404 OR coalesce(cd, '') = 'NoSuchBucket' THEN '{K.ERR_BUCKET_MISSING}'
+  ELSE '{K.ERR_TEST_OTHER}' END AS test_message
 FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 500 END AS st,
              CASE event_type WHEN 'error' THEN 'AccessDenied' WHEN 'click' THEN 'NoSuchBucket' END AS cd FROM events) e
 """
@@ -830,6 +905,20 @@ FROM ({HISTORY_SQL}) h
 """
 
 
+def q_history_dates_zone(spark, d):
+    """Order times as history dates in a zone with summer time."""
+    _prep(spark)
+    o = load(spark, d, "orders")
+    return o.select("o_orderkey", dates.history_date(dates.iso_text(o.o_orderdate), "Europe/Berlin", "raw").alias("shown"))
+
+
+SQL_HISTORY_DATES_ZONE = """
+SELECT o_orderkey, strftime(l, '%Y-%m-%d %H:%M') || CASE WHEN l - t = INTERVAL 1 HOUR THEN ' CET' ELSE ' CEST' END AS shown
+FROM (SELECT o_orderkey, date_trunc('second', CAST(o_orderdate AS TIMESTAMP)) AS t,
+             timezone('Europe/Berlin', timezone('UTC', date_trunc('second', CAST(o_orderdate AS TIMESTAMP)))) AS l FROM orders) x
+"""
+
+
 def q_job_gate(spark, d):
     _prep(spark)
     return hist.gate_jobs(derived.jobs(spark, d))
@@ -859,8 +948,9 @@ SQL_QUOTE_IDENTIFIER = "SELECT p_partkey, '`' || replace(p_name, '`', '``') || '
 SQL_TABLE_SCAN = "SELECT * FROM customer"
 SQL_ORDERED_PROJECTION = "SELECT c_name, c_custkey, c_acctbal FROM customer"
 SQL_ROW_PAGE = "SELECT * FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100"
-SQL_PREFIX_NORMALISE = "SELECT page_id, trim(trim(coalesce(url, '')), '/') AS prefix FROM pages"
-SQL_KEY_NORMALISE = "SELECT page_id, ltrim(trim(url), '/') AS key FROM pages"
+SQL_ODD_URL = "(CASE page_id % 3 WHEN 0 THEN chr(9) || '/' || url || '/' || chr(13) || chr(10) WHEN 1 THEN ' ' || url || chr(0) ELSE url END)"
+SQL_PREFIX_NORMALISE = f"SELECT page_id, trim(trim(coalesce({SQL_ODD_URL}, ''), {SQL_TRIM_CHARS}), '/') AS prefix FROM pages"
+SQL_KEY_NORMALISE = f"SELECT page_id, ltrim(trim({SQL_ODD_URL}, {SQL_TRIM_CHARS}), '/') AS key FROM pages"
 SQL_RESTORE_ROWS = "SELECT * FROM documents"
 
 
@@ -875,13 +965,11 @@ def q_overlap_suppress(spark, d):
 
 SQL_OVERLAP_SUPPRESS = f"""
 WITH RECURSIVE
-nx AS (SELECT a.event_id, (SELECT arg_min(b.event_id, b.ts) FROM events b
-                            WHERE b.event_type = a.event_type AND b.ts >= a.ts + INTERVAL {K.LOCK_SECONDS} SECOND) AS next_id
-       FROM events a),
+nx AS MATERIALIZED (SELECT a.event_id, b.event_id AS next_id FROM events a
+  ASOF JOIN events b ON a.event_type = b.event_type AND a.ts + INTERVAL {K.LOCK_SECONDS} SECOND <= b.ts),
 heads AS (SELECT arg_min(event_id, ts) AS event_id FROM events GROUP BY event_type),
 chain(event_id) AS (SELECT event_id FROM heads
-                    UNION ALL SELECT nx.next_id FROM chain JOIN nx ON nx.event_id = chain.event_id
-                    WHERE nx.next_id IS NOT NULL)
+                    UNION ALL SELECT nx.next_id FROM chain JOIN nx ON nx.event_id = chain.event_id)
 SELECT event_type, event_id FROM events WHERE event_id IN (SELECT event_id FROM chain)
 """
 
@@ -930,48 +1018,85 @@ def q_incremental_export(spark, d):
 # --- jobs over files: S6, S8, S12, G7, P2, P3, P5 -------------------------------
 
 def _exports(spark, d, root, times):
+    """Exports of the whole database at the given times."""
     from .export import export_database
-    src = catalog.DictSource(spark, _tables(spark, d, ["orders"]))
-    out = []
-    for t in times:
-        out.append(export_database(spark, src, f"{root}/b1", PREFIX, "shop", t, snapshot_check=False).first())
-    return out
+    return [export_database(spark, _src(spark, d), f"{root}/store", PREFIX, "shop", t).first() for t in times]
 
 
 _TIMES = [datetime(2026, 8, 10, 3, 0, tzinfo=timezone.utc), datetime(2026, 8, 11, 3, 0, tzinfo=timezone.utc),
           datetime(2026, 8, 12, 3, 0, tzinfo=timezone.utc)]
+_KEYS = [f"site/backups/database/2026/08/{t.day}/db-shop-202608{t.day}-030000.sql.gz" for t in _TIMES]
+
+
+def _failing_export(spark, d, root):
+    """An export that fails half-way: one table holds a value without a literal."""
+    from .export import export_database
+    tables = _tables(spark, d, TABLES)
+    tables["zz_broken"] = tables["region"].select(F.lit(float("nan")).alias("x"))
+    try:
+        export_database(spark, tables, f"{root}/store", PREFIX, "broken", _TIMES[2], snapshot_check=False)
+    except Exception:
+        return
+    raise AssertionError("the export should have failed")
 
 
 def q_object_listing(spark, d):
     _prep(spark)
     root = scratch_path(spark, "bucket")
-    _exports(spark, d, root, _TIMES)
-    return objects.list_objects(spark, f"{root}/b1", "b1")
+    _exports(spark, d, root, _TIMES[:1])
+    _failing_export(spark, d, root)
+    ls = objects.list_objects(spark, f"{root}/store", "b1")
+    return ls.select("bucket", "key", (F.col("size_bytes") > 0).alias("has_bytes"))
+
+
+SQL_OBJECT_LISTING = f"SELECT 'b1' AS bucket, '{_KEYS[0]}' AS key, true AS has_bytes"
 
 
 def q_snapshot_check(spark, d):
+    """Rows of every table, and whether its files changed while they were
+    counted."""
     _prep(spark)
     before = scratch_path(spark, "manifest")
     objects.file_manifest(spark, d).write.parquet(before)
-    return objects.manifest_diff(spark.read.parquet(before), objects.file_manifest(spark, d))
+    counts = scratch_path(spark, "counts")
+    catalog.table_row_counts(_src(spark, d).tables()).write.parquet(counts)
+    changed = objects.manifest_diff(spark.read.parquet(before), objects.file_manifest(spark, d))
+    changed = changed.select(F.regexp_extract("path", r"([^/]+)[.]parquet", 1).alias("table_name"), F.lit(True).alias("c")).distinct()
+    return (spark.read.parquet(counts).join(changed, "table_name", "left")
+            .select("table_name", "row_count", F.coalesce("c", F.lit(False)).alias("changed")))
+
+
+SQL_SNAPSHOT_CHECK = f"SELECT table_name, row_count, false AS changed FROM ({SQL_TABLE_ROW_COUNTS}) c"
 
 
 def q_retention_apply(spark, d):
+    """Three exports, keep two: what a fresh listing shows of each (J2 on a
+    real deletion)."""
     _prep(spark)
-    from .runs import apply_retention
+    from .runs import apply_retention, backup_listing
     root = scratch_path(spark, "bucket")
     _exports(spark, d, root, _TIMES)
-    listing = retention.normalise_listing(objects.list_objects(spark, f"{root}/b1", "b1"), PREFIX)
-    # file times are all "now": keep-N then ranks by key, newest date first
+
+    def listing():
+        return backup_listing(spark, f"{root}/store", "b1", PREFIX)
     log = scratch_path(spark, "retention-log")
-    summary = apply_retention(spark, listing, 2, objects.LocalFileDeleter(root), log)
-    return summary
+    done = apply_retention(spark, listing(), 2, objects.PathDeleter(f"{root}/store"), log, relist=listing)
+    checked = spark.read.parquet(f"{log}/checked").withColumn("_one", F.lit(1))
+    summary = done.select("deleted_count", "missing_count", "failed_count", F.lit(1).alias("_one"))
+    return checked.join(F.broadcast(summary), "_one").drop("_one")
+
+
+SQL_RETENTION_APPLY = " UNION ALL ".join(
+    f"SELECT 'b1' AS bucket, '{k}' AS key, '{e}' AS expected, {p} AS present, true AS ok, CAST(1 AS BIGINT) AS deleted_count, "
+    "CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS failed_count"
+    for k, e, p in zip(_KEYS, ("deleted", "kept", "kept"), ("false", "true", "true")))
 
 
 def q_compression_report(spark, d):
     _prep(spark)
-    path = _small_dump(spark, d, ["lineitem"])
-    text = dump.read_dump_text(spark, path).agg(F.sum(F.octet_length("value") + 1).alias("text_bytes"))
+    path = _whole_dump(spark, d)
+    text = dump.read_dump_text(spark, path).filter(F.col("file").endswith(".gz")) \
+        .agg(F.sum(F.octet_length("value") + 1).alias("text_bytes"))
     gz = objects.file_manifest(spark, path, "*.gz").agg(F.sum("length").alias("gz_bytes"))
     both = text.select(F.col("text_bytes").cast("long"), F.lit(0).cast("long").alias("gz_bytes")) \
         .unionByName(gz.select(F.lit(0).cast("long").alias("text_bytes"), F.col("gz_bytes").cast("long")))
@@ -981,39 +1106,59 @@ def q_compression_report(spark, d):
 
 def _job(spark, d, root):
     from .runs import Job
-    src = catalog.DictSource(spark, _tables(spark, d, ["orders", "customer"]))
-    return Job(database_name="shop", source=src, root=root, region="eu-west-1", bucket="b1", prefix=PREFIX,
+    return Job(database_name="shop", source=_src(spark, d), root=f"{root}/store", region="eu-west-1", bucket="b1", prefix=PREFIX,
                retention_keep_count="2")
 
 
+def _run_outcome(spark, root, hist_path):
+    """The history entries and whether each entry's object is still listed."""
+    listed = objects.list_objects(spark, f"{root}/store", "b1").select("key", F.lit(True).alias("l"))
+    h = history_store.read_history(spark, hist_path)
+    return h.join(listed, "key", "left").select(
+        "success", "created_at", "database_name", "backend", "bucket", "key", "message",
+        (F.col("size_bytes") > 0).alias("has_bytes"), F.coalesce("l", F.lit(False)).alias("listed"))
+
+
 def q_full_run(spark, d):
+    """Three scheduled runs over the whole database, keep two."""
     _prep(spark)
     from .runs import full_run
-    root = scratch_path(spark, "bucket")
-    hist_path = scratch_path(spark, "history")
-    job = _job(spark, d, root)
+    root, hist_path = scratch_path(spark, "bucket"), scratch_path(spark, "history")
     for t in _TIMES:
-        full_run(spark, job, hist_path, objects.LocalFileDeleter(root), t)
-    return history_store.read_history(spark, hist_path)
+        full_run(spark, _job(spark, d, root), hist_path, now=t)
+    return _run_outcome(spark, root, hist_path)
+
+
+def _sql_run(i: int, message: str, listed: bool) -> str:
+    return (f"SELECT true AS success, '{_TIMES[i]:%Y-%m-%dT%H:%M:%S}+00:00' AS created_at, 'shop' AS database_name, 'spark' AS backend, "
+            f"'b1' AS bucket, '{_KEYS[i]}' AS key, '{message}' AS message, true AS has_bytes, {str(listed).lower()} AS listed")
+
+
+SQL_FULL_RUN = " UNION ALL ".join([
+    _sql_run(0, f"{K.MSG_AUTO_OK} {K.MSG_RETENTION_NONE % 2}", False), _sql_run(1, f"{K.MSG_AUTO_OK} {K.MSG_RETENTION_NONE % 2}", True),
+    _sql_run(2, f"{K.MSG_AUTO_OK} {K.MSG_RETENTION_DELETED % (1, 2)}", True)])
 
 
 def q_manual_run(spark, d):
+    """A manual run over the whole database; it never deletes."""
     _prep(spark)
     from .runs import manual_run
-    root = scratch_path(spark, "bucket")
-    hist_path = scratch_path(spark, "history")
+    root, hist_path = scratch_path(spark, "bucket"), scratch_path(spark, "history")
     manual_run(spark, _job(spark, d, root), hist_path, _TIMES[0])
-    return history_store.read_history(spark, hist_path)
+    return _run_outcome(spark, root, hist_path)
+
+
+SQL_MANUAL_RUN = _sql_run(0, K.MSG_MANUAL_OK, True)
 
 
 # --- registry ------------------------------------------------------------------
 
 REGISTRY: dict[str, tuple] = {
-    "table_catalog": (q_table_catalog, SQL_TABLE_CATALOG),
+    "table_catalog": (q_table_catalog, f"SELECT * FROM ({SQL_BASE_TABLES}) b JOIN ({SQL_TABLE_ROW_COUNTS}) c USING (table_name)"),
     "table_row_counts": (q_table_row_counts, SQL_TABLE_ROW_COUNTS),
-    "column_metadata": (q_column_metadata, SQL_COLUMNS),
-    "table_ddl": (q_table_ddl, SQL_TABLE_DDL),
-    "create_sections": (q_create_sections, SQL_CREATE_SECTIONS),
+    "column_metadata": (q_column_metadata, f"SELECT * FROM ({SQL_COLUMNS}) c JOIN ({SQL_VALUES}) v USING (table_name, name)"),
+    "table_ddl": (q_table_ddl, f"SELECT * FROM ({SQL_TABLE_DDL}) b JOIN ({SQL_TABLE_ROW_COUNTS}) c USING (table_name)"),
+    "create_sections": (q_create_sections, f"SELECT * FROM ({SQL_CREATE_SECTIONS}) b JOIN ({SQL_TABLE_ROW_COUNTS}) c USING (table_name)"),
     "table_scan": (q_table_scan, SQL_TABLE_SCAN),
     "ordered_projection": (q_ordered_projection, SQL_ORDERED_PROJECTION),
     "row_page": (q_row_page, SQL_ROW_PAGE),
@@ -1064,15 +1209,16 @@ REGISTRY: dict[str, tuple] = {
     "error_class": (q_error_class, SQL_ERROR_CLASS),
     "size_label": (q_size_label, SQL_SIZE_LABEL),
     "next_run": (q_next_run, SQL_NEXT_RUN),
+    "history_dates_zone": (q_history_dates_zone, SQL_HISTORY_DATES_ZONE),
     "job_gate": (q_job_gate, SQL_JOB_GATE),
     "overlap_suppress": (q_overlap_suppress, SQL_OVERLAP_SUPPRESS),
     "overlap_suppress_stream": (q_overlap_suppress_stream, SQL_OVERLAP_SUPPRESS),
     "history_stream": (q_history_stream, SQL_HISTORY_LATEST),
     "incremental_export": (q_incremental_export, "SELECT * FROM events"),
-    "object_listing": (q_object_listing, None),
-    "snapshot_check": (q_snapshot_check, None),
-    "retention_apply": (q_retention_apply, None),
+    "object_listing": (q_object_listing, SQL_OBJECT_LISTING),
+    "snapshot_check": (q_snapshot_check, SQL_SNAPSHOT_CHECK),
+    "retention_apply": (q_retention_apply, SQL_RETENTION_APPLY),
     "compression_report": (q_compression_report, None),
-    "full_run": (q_full_run, None),
-    "manual_run": (q_manual_run, None),
+    "full_run": (q_full_run, SQL_FULL_RUN),
+    "manual_run": (q_manual_run, SQL_MANUAL_RUN),
 }

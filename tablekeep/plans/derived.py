@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.dates import iso_text
 from ..functions.keys import backup_key
-from ..session import spread
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, spread over the cores when its file is one split."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A table of the test data."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _name(ev) -> F.Column:
@@ -120,14 +119,16 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer")
     sched = (F.when(c.c_custkey % 5 == 0, F.lit("daily")).when(c.c_custkey % 5 == 1, F.lit("DAILY"))
              .when(c.c_custkey % 5 == 2, F.lit("weekly")).when(c.c_custkey % 5 == 3, F.lit(" dai ly")))
-    keep = (F.when(c.c_custkey % 9 == 0, F.lit("0")).when(c.c_custkey % 9 == 1, c.c_nationkey.cast("string"))
+    odd = (F.when(c.c_custkey % 4 == 0, F.lit("\t7")).when(c.c_custkey % 4 == 1, F.lit("7\n"))
+           .when(c.c_custkey % 4 == 2, F.lit("\r\n8\x00")).otherwise(F.lit("\x0b9 ")))
+    keep = (F.when(c.c_custkey % 7 == 3, odd).when(c.c_custkey % 9 == 0, F.lit("0")).when(c.c_custkey % 9 == 1, c.c_nationkey.cast("string"))
             .when(c.c_custkey % 9 == 2, F.lit("-1")).when(c.c_custkey % 9 == 3, F.lit("1.5"))
             .when(c.c_custkey % 9 == 4, F.lit(" 7 ")).when(c.c_custkey % 9 == 5, F.lit("+5"))
             .when(c.c_custkey % 9 == 6, F.lit("007")).when(c.c_custkey % 9 == 7, F.lit("92233720368547758070"))
             .otherwise(F.lit("invalid")))
     opts = F.create_map(F.lit("region"), F.lower(c.c_mktsegment),
                         F.lit("bucket"), F.concat(F.lit("bk"), c.c_nationkey.cast("string")),
-                        F.lit("prefix"), F.lit("/site/"),
+                        F.lit("prefix"), F.when(c.c_custkey % 3 == 0, F.lit("\t/site/\r\n")).otherwise(F.lit("/site/")),
                         F.lit("backup_schedule"), sched,
                         F.lit("retention_keep_count"), keep)
     return c.select("c_custkey", opts.alias("options"))
@@ -135,11 +136,14 @@ def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SETTINGS_SQL = """
 SELECT c_custkey,
-  lower(c_mktsegment) AS region, 'bk' || CAST(c_nationkey AS VARCHAR) AS bucket, '/site/' AS prefix,
+  lower(c_mktsegment) AS region, 'bk' || CAST(c_nationkey AS VARCHAR) AS bucket,
+  CASE WHEN c_custkey % 3 = 0 THEN chr(9) || '/site/' || chr(13) || chr(10) ELSE '/site/' END AS prefix,
   CASE c_custkey % 5 WHEN 0 THEN 'daily' WHEN 1 THEN 'DAILY' WHEN 2 THEN 'weekly' WHEN 3 THEN ' dai ly' END AS backup_schedule,
+  CASE WHEN c_custkey % 7 = 3 THEN CASE c_custkey % 4 WHEN 0 THEN chr(9) || '7' WHEN 1 THEN '7' || chr(10)
+       WHEN 2 THEN chr(13) || chr(10) || '8' || chr(0) ELSE chr(11) || '9 ' END ELSE
   CASE c_custkey % 9 WHEN 0 THEN '0' WHEN 1 THEN CAST(c_nationkey AS VARCHAR) WHEN 2 THEN '-1' WHEN 3 THEN '1.5'
        WHEN 4 THEN ' 7 ' WHEN 5 THEN '+5' WHEN 6 THEN '007' WHEN 7 THEN '92233720368547758070'
-       ELSE 'invalid' END AS retention_keep_count
+       ELSE 'invalid' END END AS retention_keep_count
 FROM customer
 """
 

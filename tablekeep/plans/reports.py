@@ -47,6 +47,6 @@ def status_report(history: DataFrame, settings: DataFrame, now_col, tz: str = "U
         # per-group lookup: both sides are one row per group
         joined = base.join(last.select(*by, F.col("label").alias("last_success")), by, "left")
         return joined.withColumn("last_success", F.coalesce(F.col("last_success"), F.lit(K.LABEL_NONE)))
-    # a single history: its one-row result is attached as a literal
-    label = last.select("label").first()["label"]
-    return base.withColumn("last_success", F.lit(label))
+    # a single history: its one row is attached by a join on a constant
+    one = last.select(F.lit(1).alias("_one"), F.col("label").alias("last_success"))
+    return base.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")

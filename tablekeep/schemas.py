@@ -2,13 +2,6 @@
 
 from pyspark.sql import types as T
 
-LISTING = T.StructType([
-    T.StructField("bucket", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("size_bytes", T.LongType()),
-    T.StructField("last_modified", T.TimestampType()),
-])
-
 HISTORY = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("success", T.BooleanType()),
@@ -44,24 +37,13 @@ COLUMNS = T.StructType([
     T.StructField("spark_type", T.StringType()),
 ])
 
-DUMP = T.StructType([
-    T.StructField("table_name", T.StringType()),
-    T.StructField("section", T.IntegerType()),
-    T.StructField("chunk_id", T.LongType()),
-    T.StructField("value", T.StringType()),
-])
-
-MANIFEST = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("modificationTime", T.TimestampType()),
-    T.StructField("length", T.LongType()),
-])
-
 DELETE_RESULT = T.StructType([
     T.StructField("bucket", T.StringType()),
     T.StructField("key", T.StringType()),
     T.StructField("size_bytes", T.LongType()),
+    T.StructField("path", T.StringType()),
     T.StructField("deleted", T.BooleanType()),
+    T.StructField("missing", T.BooleanType()),
     T.StructField("error", T.StringType()),
 ])
 

@@ -3,6 +3,7 @@ shared folder used to cut lineage and to stage intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -38,14 +39,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The value is read from the session. Only when it is unset (local runs and
-    tests) is a folder of our own set.
+    The value is read from the session. Only when it is unset on a local
+    master (tests) is a folder of our own set; on a cluster executors could
+    not read it, so there an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
     conf = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    if not conf and not sc.master.split("[")[0] == "local":
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="tablekeep-ckpt-")
     sc.setCheckpointDir(conf)
@@ -90,20 +94,12 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(zpath)
+    atexit.register(lambda: os.path.exists(zpath) and os.remove(zpath))
     _SHIPPED.add(key)
 
 
-def spread(df, min_partitions: int | None = None, min_bytes: int = 1 << 20):
-    """Round-robin ``df`` over the cluster's cores when it has fewer
-    partitions than that (a single-row-group file is one task) and is large
-    enough (estimated plan size ``min_bytes`` or more) for the extra shuffle
-    to pay. A no-op on large inputs, which already arrive in many splits."""
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no estimate: assume it is worth spreading
-        size = min_bytes
-    return df.repartition(target) if size >= min_bytes else df
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder through its Hadoop file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+

@@ -47,13 +47,6 @@ class ParquetDirSource(TableSource):
     suffix: str = ".parquet"
     _names: list[str] | None = field(default=None, repr=False)
 
-    def listing(self) -> DataFrame:
-        """File-level listing of the folder, read from metadata only."""
-        return (self.spark.read.format("binaryFile")
-                .option("recursiveFileLookup", "true")
-                .load(self.path)
-                .select("path", "modificationTime", "length"))
-
     def table_names(self) -> list[str]:
         if self._names is None:
             jvm = self.spark._jvm
@@ -109,7 +102,7 @@ class JdbcSource(TableSource):
         q = self.tables_query or (
             "SELECT TABLE_NAME AS table_name FROM information_schema.TABLES "
             "WHERE TABLE_TYPE = 'BASE TABLE'"
-            + (f" AND TABLE_SCHEMA = '{self.schema}'" if self.schema else ""))
+            + (" AND TABLE_SCHEMA = '{}'".format(self.schema.replace("'", "''")) if self.schema else ""))
         df = self._reader().option("query", q).load()
         return sorted(r[0] for r in df.collect())
 

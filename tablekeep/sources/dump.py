@@ -7,6 +7,7 @@ Layout of one dump (the object key names a folder)::
     ...
     <dump>/999999-footer/part-*.txt.gz     footer text
     <dump>/_tables/                        table name, folder, column types
+    <dump>/complete.marker                 written last
 
 Concatenating every part file in path order gives the single SQL text of the
 reference (gzip members may be concatenated). Each table has its own folder,
@@ -18,6 +19,7 @@ which gives the blank line between statements.
 from __future__ import annotations
 
 import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +28,15 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from .. import schemas
-from ..functions.literals import EXACT, Dialect
+from ..functions.literals import EXACT, Dialect, from_utc_text
 from ..operators import chunks
-from ..session import spread
+from ..session import remove_path
 from .catalog import column_rows, create_section
 
 HEADER_DIR = "000000-header"
 FOOTER_DIR = "999999-footer"
 TABLES_DIR = "_tables"
+COMPLETE = "complete.marker"
 
 
 def header_text(generated_iso: str) -> str:
@@ -112,46 +115,65 @@ def dump_size(lines: DataFrame) -> DataFrame:
         .otherwise(F.raise_error(F.lit("database dump is empty")).cast("long")).alias("size_bytes"))
 
 
-def _write_text(df: DataFrame, path: str, max_records: int | None):
+def _write_text(df: DataFrame, path: str, max_records: int | None, gzip_level: int | None = None):
     w = df.write.mode("errorifexists").option("compression", "gzip")
     if max_records:
         w = w.option("maxRecordsPerFile", str(max_records))
+    if gzip_level is not None:  # an option of this write alone
+        w = w.option("zlib.compress.level", K.GZIP_LEVELS[gzip_level])
     w.text(path)
 
 
 def write_dump(tables: dict[str, DataFrame], path: str, generated_iso: str,
                size: int = K.DEFAULT_CHUNK_ROWS, keys: dict[str, list[str]] | None = None,
                dialect: Dialect = EXACT, max_records: int | None = 1_000,
-               parallel: int = 8, gzip_level: int | None = None) -> list[str]:
+               parallel: int = 8, gzip_level: int | None = None, check=None) -> list[str]:
     """Write the dump under ``path`` (any Hadoop path, ``s3a://`` too).
 
+    The dump is written under a hidden staging name beside ``path``, renamed
+    when whole, and marked complete by a last file; listings take only marked
+    dumps. On any failure the staging folder is removed and nothing appears.
+    ``check(staging path)`` runs before the dump is published and may raise.
+
     Tables are written by concurrent jobs; each job is a single pass with no
     shuffle unless ``keys`` asks for exact key order. ``max_records`` caps the
     INSERT records per part file (1,000 records of 1,000 rows by default),
     since gzip files cannot be split on read and each file is one restore
-    task.
-    An existing path is an error, as two runs in the same second would
+    task. ``gzip_level`` 1 to 9 sets the level of this write, else the codec's
+    own. An existing path is an error, as two runs in the same second would
     otherwise overwrite each other. Returns the table folders written."""
     if not tables:
         raise ValueError("no tables to export")
+    if gzip_level is not None and gzip_level not in K.GZIP_LEVELS:
+        raise ValueError("the gzip level is a whole number from 1 to 9")
     spark = next(iter(tables.values())).sparkSession
-    if gzip_level is None:
-        return _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_records, parallel)
-    # the codec level is a session-wide Hadoop setting: set it for this write
-    # only and put the previous value back afterwards
-    conf = spark._jsc.hadoopConfiguration()
-    previous = conf.get("zlib.compress.level")
-    conf.set("zlib.compress.level", "BEST_COMPRESSION" if gzip_level >= 9 else "DEFAULT_COMPRESSION")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path.rstrip("/"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise FileExistsError(f"the dump {path} exists")
+    parent, _, name = path.rstrip("/").rpartition("/")
+    staging = f"{parent}/_writing-{uuid.uuid4().hex}-{name}"
+    published = False
     try:
-        return _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_records, parallel)
-    finally:
-        if previous is None:
-            conf.unset("zlib.compress.level")
-        else:
-            conf.set("zlib.compress.level", previous)
+        written = _write_dump(spark, tables, staging, generated_iso, size, keys, dialect, max_records, parallel, gzip_level)
+        if check is not None:
+            check(staging)
+        if not fs.rename(hadoop.Path(staging), target):
+            raise RuntimeError(f"cannot publish the dump {path}")
+        published = True
+        marker = fs.create(hadoop.Path(f"{path.rstrip('/')}/{COMPLETE}"), False)
+        marker.write(bytearray(b"complete\n"))  # listings by Spark pass over empty files
+        marker.close()
+    except BaseException:
+        remove_path(spark, staging)
+        if published:
+            remove_path(spark, path)
+        raise
+    return written
 
 
-def _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_records, parallel) -> list[str]:
+def _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_records, parallel, gzip_level) -> list[str]:
     root = path.rstrip("/")
     names = sorted(tables)
     dirs = {n: table_dir(i + 1, n) for i, n in enumerate(names)}
@@ -163,16 +185,16 @@ def _write_dump(spark, tables, path, generated_iso, size, keys, dialect, max_rec
     meta_schema = T.StructType([T.StructField("dir", T.StringType())] + schemas.COLUMNS.fields)
     spark.createDataFrame(meta, meta_schema).coalesce(1).write.mode("errorifexists").json(f"{root}/{TABLES_DIR}")
 
-    _write_text(_text_frame(spark, header_text(generated_iso)), f"{root}/{HEADER_DIR}", None)
+    _write_text(_text_frame(spark, header_text(generated_iso)), f"{root}/{HEADER_DIR}", None, gzip_level)
 
     def one(n):
         recs = table_records(tables[n], n, size, (keys or {}).get(n), dialect)
-        _write_text(recs, f"{root}/{dirs[n]}", max_records)
+        _write_text(recs, f"{root}/{dirs[n]}", max_records, gzip_level)
         return dirs[n]
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         written = list(pool.map(one, names))
-    _write_text(_text_frame(spark, footer_text()), f"{root}/{FOOTER_DIR}", None)
+    _write_text(_text_frame(spark, footer_text()), f"{root}/{FOOTER_DIR}", None, gzip_level)
     return written
 
 
@@ -216,6 +238,8 @@ def decode_token(tok, dtype: T.DataType) -> F.Column:
         val = F.from_json(unescape_string(_body(tok)), dtype)
     elif isinstance(dtype, T.StringType):
         val = unescape_string(_body(tok))
+    elif isinstance(dtype, T.TimestampType):
+        val = from_utc_text(unescape_string(_body(tok)))
     else:
         val = unescape_string(_body(tok)).cast(dtype)
     return F.when(tok == F.lit(K.NULL_LITERAL), F.lit(None).cast(dtype)).otherwise(val)
@@ -254,7 +278,7 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -
         cols.sort(key=lambda r: r.ordinal)
         schema = T.StructType([T.StructField(c.name, T._parse_datatype_string(c.spark_type), c.nullable)
                                for c in cols])
-        lines = spread(spark.read.text(f"{path.rstrip('/')}/{cols[0].dir}"))
+        lines = spark.read.text(f"{path.rstrip('/')}/{cols[0].dir}")
         out[name] = parse_tuples(lines, schema)
     return out
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.literals import quote_identifier_text
 from ..operators import ranking
 
-# Pages up to this many rows (offset + limit) use a per-task top-N; deeper
-# pages use exact range-bucketed row numbers instead of sorting in one task.
-TOP_N_PAGE_LIMIT = 100_000
-
 
 def project_ordered(df: DataFrame, columns: list[str]) -> DataFrame:
     """the columns in the given order. A missing column is an analysis
@@ -20,13 +16,11 @@ def project_ordered(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def row_page(df: DataFrame, key: list[str], limit: int, offset: int) -> DataFrame:
-    """``limit`` rows after ``offset`` rows in key order. ``limit`` must
-    be positive and ``offset`` not negative."""
+    """``limit`` rows after ``offset`` rows in key order, sorted, whatever
+    the depth. ``limit`` must be positive and ``offset`` not negative."""
     if not isinstance(limit, int) or limit <= 0:
         raise ValueError("Row read limit must be greater than zero.")
     if not isinstance(offset, int) or offset < 0:
         raise ValueError("Row read offset must not be negative.")
-    if offset + limit <= TOP_N_PAGE_LIMIT:
-        return df.orderBy(*key).offset(offset).limit(limit)
     ranked = ranking.row_number(df, [], [(k, False) for k in key], out="__rn")
-    return ranked.filter((F.col("__rn") > offset) & (F.col("__rn") <= offset + limit)).drop("__rn")
+    return ranked.filter((F.col("__rn") > offset) & (F.col("__rn") <= offset + limit)).orderBy("__rn").drop("__rn")

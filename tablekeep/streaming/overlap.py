@@ -4,18 +4,16 @@ A run is accepted when no earlier accepted run of the same key still holds
 the lock; a lock lasts until the run ends or ``ttl`` after it starts,
 whichever is first. Runs are taken in (start, id) order.
 
-Batch form, with no key in a single task:
-
-1. ``next(i)``: the first run of the same key starting at or after the lock
-   end of run ``i``. It is found by rank arithmetic: with runs ranked by
-   (start, id) and lock ends merged into the same order, the number of runs
-   before a lock end is its merged rank minus its rank among lock ends. All
-   three ranks are exact range-bucketed row numbers.
-2. The accepted runs are the chain ``head, next(head), next(next(head))...``
-   from the first run of each key. Pointer doubling finds every chain in
-   ``log2(longest chain)`` rounds of joins: ``S <- S + J(S)``, ``J <- J o J``.
-   Each round's tables are checkpointed to the shared checkpoint folder so
-   the lineage stays short.
+Batch form, with no key in a single task, in three passes over range buckets
+of (key, start, id):
+
+1. per bucket, the map "lock end on entry -> lock end on exit" of its first
+   key. It is a step function of the entry, and only starts within ``ttl`` of
+   the bucket's first one can matter, so it has few steps. A key that begins
+   in the bucket and goes on has a fixed exit.
+2. per key, the maps of the buckets it crosses are chained: one small row a
+   bucket, giving the lock end on entry of each.
+3. per bucket, with that entry, the accepted runs are marked.
 
 Stream form: ``applyInPandasWithState`` keeps one value per key (the lock
 end); rows of a key within a micro-batch are taken in start order.
@@ -23,68 +21,113 @@ end); rows of a key within a micro-batch are taken in start order.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ranking import row_number
-from ..session import ensure_checkpoint_dir
+from ..operators.ranking import range_bucket
+from ..session import ship_package
 
 
 def _micros(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def next_pointers(df: DataFrame, key: str, start: str, id_col: str, ttl_seconds: int,
-                  end: str | None = None) -> DataFrame:
-    """``key, id, rn, next_id`` for every run (``next_id`` null at the end).
-    Needs ``spark.checkpoint.dir`` (see ``session.ensure_checkpoint_dir``)."""
-    s = _micros(start)
-    lock = s + F.lit(ttl_seconds * 1_000_000)
-    if end:
-        lock = F.least(lock, F.coalesce(_micros(end), lock))
-    lock = F.greatest(lock, s + 1)   # a lock never ends before it starts
-    # the compact run table is read by every step below: written once
-    runs = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), s.alias("t"), lock.alias("le")).checkpoint()
-
-    ranked = row_number(runs, ["k"], [("t", False), ("id", False)], out="rn")
-    merged = (runs.select("k", "id", F.col("le").alias("t"), F.lit(0).alias("kind"))
-              .unionByName(runs.select("k", "id", "t", F.lit(1).alias("kind"))))
-    u = row_number(merged, ["k"], [("t", False), ("kind", False), ("id", False)], out="u") \
-        .filter(F.col("kind") == 0).select("k", "id", "u")
-    if end:
-        p = row_number(runs.select("k", "id", "le"), ["k"], [("le", False), ("id", False)], out="p") \
-            .select("k", "id", "p")
-    else:
-        # lock end = start + ttl orders like the runs: the rank among lock
-        # ends is the run's own rank
-        p = ranked.select("k", "id", F.col("rn").alias("p"))
-    want = u.join(p, ["k", "id"]).select("k", "id", (F.col("u") - F.col("p") + 1).alias("next_rn"))
-    targets = ranked.select("k", F.col("rn").alias("next_rn"), F.col("id").alias("next_id"))
-    nxt = want.join(targets, ["k", "next_rn"], "left").select("k", "id", "next_id")
-    return ranked.select("k", "id", "rn").join(nxt, ["k", "id"])
+def _sorted(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's rows in (key, start, id) order, the first row of each key,
+    starts and lock ends."""
+    order = pc.sort_indices(table, [(c, "ascending") for c in ("__k", "__t", "__id")], null_placement="at_start")
+    table = table.take(order)
+    codes = pc.dictionary_encode(table.column("__k").combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+    return table, first, table.column("__t").to_numpy(), table.column("__le").to_numpy()
+
+
+def _exits(t: np.ndarray, le: np.ndarray) -> np.ndarray:
+    """Lock end after a key's last run in the bucket, if run i is accepted."""
+    after = np.searchsorted(t, le, side="left")
+    out = le.copy()
+    for i in range(len(t) - 1, -1, -1):
+        if after[i] < len(t):
+            out[i] = out[after[i]]
+    return out
+
+
+def _maps(ttl: int):
+    def run(table: pa.Table) -> pa.Table:
+        table, first, t, le = _sorted(table)
+        ends = np.append(first[1:], len(t))
+        rows = []
+        s, e = 0, int(ends[0])
+        exits = _exits(t[s:e], le[s:e])
+        near = int(np.searchsorted(t[s:e], t[s] + ttl, side="right"))
+        last_of_step = np.append(np.flatnonzero(np.diff(exits[:near])), near - 1)
+        rows.append((s, False, t[s:e][last_of_step].tolist(), exits[last_of_step].tolist()))
+        if len(first) > 1:  # the last key of the bucket begins here
+            s = int(first[-1])
+            rows.append((s, True, [], _exits(t[s:], le[s:])[:1].tolist()))
+        at = pa.array([r[0] for r in rows], pa.int64())
+        return pa.table([table.column("__rb").take(at), table.column("__k").take(at), pa.array([r[1] for r in rows], pa.bool_()),
+                         pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                        names=["__rb", "__k", "fresh", "upto", "exits"])
+    return run
+
+
+def _chain(table: pa.Table) -> pa.Table:
+    """Lock end on entry of each bucket that a key comes into."""
+    rows = sorted(zip(*[table.column(c).to_pylist() for c in ("__rb", "fresh", "upto", "exits")]))
+    lock, out = None, []
+    for rb, fresh, upto, exits in rows:
+        if fresh:
+            lock = exits[0]
+            continue
+        if lock is None:  # the key begins with this bucket
+            lock = exits[0]
+            continue
+        out.append((rb, lock))
+        step = int(np.searchsorted(np.array(upto), lock, side="left"))
+        lock = exits[step] if step < len(upto) else lock
+    return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64())], names=["__rb", "entry"])
+
+
+def _mark(columns: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        table, first, t, le = _sorted(table)
+        entry = table.column("entry")[0].as_py()
+        keep = []
+        for n, (s, e) in enumerate(zip(first.tolist(), np.append(first[1:], len(t)).tolist())):
+            i = s + int(np.searchsorted(t[s:e], entry, side="left")) if n == 0 and entry is not None else s
+            while i < e:
+                keep.append(i)
+                i += 1 + int(np.searchsorted(t[i + 1:e], le[i], side="left"))
+        return table.take(pa.array(keep, pa.int64())).select(columns)
+    return run
 
 
 def suppress_overlaps(df: DataFrame, key: str, start: str, id_col: str, ttl_seconds: int = 1800,
-                      end: str | None = None, max_rounds: int = 64) -> DataFrame:
-    """U1 (batch): the accepted rows of ``df``."""
+                      end: str | None = None, buckets: int | None = None) -> DataFrame:
+    """U1 (batch): the accepted rows of ``df``. Rows are told apart by their
+    place, so ids may repeat."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ptr = next_pointers(df, key, start, id_col, ttl_seconds, end).checkpoint()
-    reach = ptr.filter(F.col("rn") == 1).select("id").checkpoint()
-    jump = ptr.select("id", F.col("next_id").alias("j")).filter(F.col("j").isNotNull()).checkpoint()
-    for _ in range(max_rounds):
-        if jump.isEmpty():
-            break
-        # the new slice holds chain positions 2^k .. 2^(k+1)-1: never already
-        # in reach (chains have no cycles), so no distinct is needed
-        step = reach.join(jump, "id").select(F.col("j").alias("id"))
-        reach = reach.unionByName(step).checkpoint()
-        jump = (jump.alias("a").join(jump.alias("b"), F.col("a.j") == F.col("b.id"))
-                .select(F.col("a.id").alias("id"), F.col("b.j").alias("j"))).checkpoint()
-    else:
-        raise RuntimeError("overlap suppression did not converge")
-    return df.join(reach.withColumnRenamed("id", id_col), id_col, "left_semi")
+    ship_package(spark)
+    ttl = ttl_seconds * 1_000_000
+    s = _micros(start)
+    lock = s + F.lit(ttl)
+    if end:
+        lock = F.least(lock, F.coalesce(_micros(end), lock))
+    lock = F.greatest(lock, s + 1)   # a lock never ends before it starts
+    runs = df.withColumns({"__k": F.col(key), "__t": s, "__id": F.col(id_col), "__le": lock})
+    bucketed, _ = range_bucket(runs, ["__k", "__t", "__id"], buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    narrow = bucketed.select("__rb", "__k", "__t", "__id", "__le")
+    kind = runs.schema["__k"].dataType.simpleString()
+    maps = narrow.groupBy("__rb").applyInArrow(_maps(ttl), f"__rb int, __k {kind}, fresh boolean, upto array<bigint>, exits array<bigint>")
+    entries = maps.groupBy("__k").applyInArrow(_chain, "__rb int, entry bigint")
+    # one row a bucket at most: bounded by the number of buckets
+    known = bucketed.join(F.broadcast(entries), "__rb", "left")
+    return known.groupBy("__rb").applyInArrow(_mark(df.columns), df.schema)
 
 
 def _stream_fn(id_col: str, ttl_micros: int, columns: list[str]):
@@ -110,8 +153,11 @@ def _stream_fn(id_col: str, ttl_micros: int, columns: list[str]):
 def suppress_overlaps_stream(stream: DataFrame, key: str, start: str, id_col: str,
                              ttl_seconds: int = 1800, end: str | None = None) -> DataFrame:
     """U1 (stream): accepted rows of a streaming DataFrame, state = lock end
-    per key. Rows must arrive in start order across micro-batches (or behind
-    a watermark); within a micro-batch they are sorted."""
+    per key. Within a micro-batch the rows of a key are taken in start order;
+    a row that arrives in a later micro-batch than a run it precedes is judged
+    against that run's lock, as the reference judges a late start. The size of
+    a micro-batch (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds what
+    a key holds in memory."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     schema = stream.schema
     state_schema = T.StructType([T.StructField("lock", T.LongType())])

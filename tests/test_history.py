@@ -37,7 +37,8 @@ def test_history_store_and_report(spark, tmp_root):
     path = f"{tmp_root}/hist"
     assert history_store.read_history(spark, path).count() == 0
     history_store.append_history(entries(spark, [row(1, True), row(2, False, "")]), path)
-    assert history_store.next_seq(spark, path) == 3
+    a, b = history_store.new_seq(), history_store.new_seq()
+    assert a > 2 and b >> 10 >= a >> 10
     rep = {r.seq: r for r in reports.history_report(history_store.read_history(spark, path)).collect()}
     assert rep[1].date == "2026-08-10 03:00 UTC" and rep[1].status == "Success"
     assert rep[1].s3_object == "s3://b/k" and rep[1].size == "2 KB"
@@ -87,3 +88,11 @@ def test_status_report(spark):
     assert rep[0].schedule == "Daily" and rep[0].next_backup == "2026-08-11 03:00 UTC"
     assert rep[0].retention == "Keep last 5" and rep[0].last_success == "2026-08-10 03:00 UTC"
     assert rep[1].schedule == "Disabled" and rep[1].next_backup == "None" and rep[1].retention == "Disabled"
+
+
+def test_zone_abbreviations(spark):
+    df = spark.createDataFrame([("2024-07-01T10:00:00+00:00",), ("2024-01-01T10:00:00+00:00",)], "t string")
+    shown = [r.v for r in df.select(dates.history_date("t", "Europe/Berlin").alias("v")).collect()]
+    assert shown == ["2024-07-01 12:00 CEST", "2024-01-01 11:00 CET"]
+    assert df.select(dates.history_date("t", "UTC").alias("v")).first().v == "2024-07-01 10:00 UTC"
+    assert df.select(dates.history_date("t", "+02:00").alias("v")).first().v == "2024-07-01 12:00 +02:00"

@@ -36,8 +36,8 @@ def test_mixed_directions_and_nulls(spark):
     assert same(a, ev.withColumn("rn", F.row_number().over(w)))
 
 
-def test_checkpointed_whole_table(spark):
+def test_more_buckets_than_a_literal_tree_would_hold(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
-    a = row_number(li, [], [("l_orderkey", True), ("l_linenumber", False)], buckets=16, method="checkpoint")
+    a = row_number(li, [], [("l_orderkey", True), ("l_linenumber", False)], buckets=600)
     w = Window.orderBy(F.col("l_orderkey").desc(), F.col("l_linenumber").asc())
     assert same(a, li.withColumn("rn", F.row_number().over(w)))

@@ -66,3 +66,41 @@ def test_all_types_round_trip(spark, tmp_path_factory, rows):
     assert verify.diff_rows(df, back).count() == 0
     assert df.select(*cols).exceptAll(back.select(*cols)).count() == 0
     assert back.select(*cols).exceptAll(df.select(*cols)).count() == 0
+
+
+def test_instants_survive_any_session_zone(spark, tmp_path):
+    """Both sides of an autumn clock change, written and read in three zones."""
+    from tablekeep.sources import dump
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    times = ["2024-11-03 05:30:00", "2024-11-03 06:30:00", "2024-10-27 00:30:00.000001", "2024-10-27 01:30:00", "1969-12-31 23:59:59.5", "2024-03-10 02:30:00"]
+    try:
+        for i, z in enumerate(("America/New_York", "Europe/Berlin", "UTC")):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            df = spark.createDataFrame([(n, t) for n, t in enumerate(times)], "n int, t string").selectExpr("n", "timestamp(concat(t, ' UTC')) AS t")
+            want = sorted((r.n, r.u) for r in df.selectExpr("n", "unix_micros(t) AS u").collect())
+            dump.write_dump({"x": df}, f"{tmp_path}/{i}", "now")
+            for back in ("Asia/Tokyo", "America/New_York", "UTC"):
+                spark.conf.set("spark.sql.session.timeZone", back)
+                got = dump.read_dump(spark, f"{tmp_path}/{i}")["x"].selectExpr("n", "unix_micros(t) AS u")
+                assert sorted((r.n, r.u) for r in got.collect()) == want
+                text = "".join(r.value for r in spark.read.text(f"{tmp_path}/{i}/000001-x").collect())
+                assert "'2024-11-03 05:30:00'" in text and "'2024-10-27 00:30:00.000001'" in text
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_gzip_levels(spark, tmp_path):
+    import os
+
+    import pytest
+
+    from tablekeep.sources import dump
+    df = spark.range(20_000).selectExpr("id", "sha2(string(id), 256) AS h").coalesce(1)
+
+    def size(level):
+        dump.write_dump({"x": df}, f"{tmp_path}/{level}", "now", gzip_level=level)
+        return sum(os.path.getsize(os.path.join(f"{tmp_path}/{level}/000001-x", f)) for f in os.listdir(f"{tmp_path}/{level}/000001-x") if f.endswith(".gz"))
+    assert size(9) < size(1)
+    for bad in (0, 10):
+        with pytest.raises(ValueError):
+            dump.write_dump({"x": df}, f"{tmp_path}/bad", "now", gzip_level=bad)

@@ -41,3 +41,20 @@ def test_incremental_export_only_new_files(spark, tmp_root):
     both = run()
     assert both.count() == ev.count()
     assert both.exceptAll(ev).count() == 0 and ev.exceptAll(both).count() == 0
+
+
+def test_replayed_batch_gives_the_same_history(spark, tmp_root):
+    src, out, ck = (os.path.join(tmp_root, x) for x in ("src", "roll", "ck"))
+    rows = [(i, True, "2026-08-10T03:00:00+00:00", "wp", "spark", None, None, None, "m") for i in range(1, 101)]
+    spark.createDataFrame(rows, schemas.HISTORY).repartition(5).write.parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(schemas.HISTORY).option("maxFilesPerTrigger", 1).parquet(src)
+        history_stream(stream, out, ck, n=20).awaitTermination()
+        return sorted(r.seq for r in read_rolling(spark, out).collect())
+    assert run() == list(range(81, 101))
+    assert len([v for v in os.listdir(out) if v.startswith("v=")]) == 2  # older versions are gone
+    last = max(int(n) for n in os.listdir(os.path.join(ck, "commits")) if n.isdigit())
+    for name in (str(last), f".{last}.crc"):  # as after a crash between write and commit
+        os.remove(os.path.join(ck, "commits", name))
+    assert run() == list(range(81, 101))
