@@ -349,7 +349,9 @@ KINDS = {
     "customer": ("int str int double str", ["c_custkey"]), "documents": ("int str str str int", ["doc_id"]),
     "embeddings": ("int floats int", ["vec_id"]), "events": ("int ts int str double str", ["event_id"]),
     "labels": ("int int int", ["doc_id"]),
-    "lineitem": ("int int int int double double double double str str ts", ["l_orderkey", "l_linenumber"]),
+    # order and line number repeat in the test data: equal ones go by all columns
+    "lineitem": ("int int int int double double double double str str ts",
+                 ["l_orderkey", "l_linenumber", *[c for c in COLUMNS_OF["lineitem"] if c not in ("l_orderkey", "l_linenumber")]]),
     "nation": ("int str int", ["n_nationkey"]), "orders": ("int int str double ts str", ["o_orderkey"]),
     "pages": ("int str str", ["page_id"]), "part": ("int str str str int double", ["p_partkey"]),
     "region": ("int str", ["r_regionkey"]), "supplier": ("int str int double", ["s_suppkey"])}
