@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from tablekeep.session import scratch_path, ship_package
 
+from .common import stage
+
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648
 DATE = "2026-01-01T00:00:00Z"
@@ -40,31 +42,29 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a binary column."""
-    digits = F.sha1(data)  # 40 hex digits: eight groups of 20 bits
-
+def base32(hex_digits: Column) -> Column:
+    """Bare upper-case base32 of 40 hex digits (a SHA-1): eight groups of 20 bits."""
     def group(i: Column) -> Column:
-        value = F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
+        value = F.conv(F.substring(hex_digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
         return F.concat(*[F.substring(F.lit(BASE32), (F.shiftright(value, s).bitwiseAND(F.lit(31)) + 1), F.lit(1)) for s in (15, 10, 5, 0)])
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group), "")
 
 
 def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``(page_id, url, payload, payload_bytes, payload_digest, refers_to,
-    revisit)``. Pages with equal payloads of at least ``min_bytes`` revisit
-    the one with the largest page_id."""
+    """``(page_id, url, payload, payload_bytes, sha1, refers_to, revisit)``.
+    Pages with equal payloads of at least ``min_bytes`` revisit the one with
+    the largest page_id."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload"))})
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
     # who refers to whom is settled on ids and digests; the payloads do not pass the shuffle of a hot digest
-    ids = rows.select("page_id", "payload_digest", "payload_bytes")
-    top = ids.groupBy("payload_digest").agg(F.max("page_id").alias("top"))
-    known = (ids.distinct().join(top, "payload_digest")
+    ids = stage(rows.select("page_id", "sha1", "payload_bytes"), "payload-digests")
+    top = ids.groupBy("sha1").agg(F.max("page_id").alias("top"))
+    known = (ids.distinct().join(top, "sha1")
              .filter((F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("top")))
-             .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("top").alias("refers_to")))
-    return (rows.join(known, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
-            .withColumn("revisit", F.col("_digest").isNotNull()).drop("_id", "_digest"))
+             .select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("top").alias("refers_to")))
+    return (rows.join(known, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left")
+            .withColumn("revisit", F.col("_sha1").isNotNull()).drop("_id", "_sha1"))
 
 
 def record_text(rows: DataFrame) -> Column:
@@ -81,7 +81,7 @@ def record_text(rows: DataFrame) -> Column:
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("page_id")),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), url), F.lit("")),
-        F.lit(f"\r\nWARC-Date: {DATE}"), F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
+        F.lit(f"\r\nWARC-Date: {DATE}"), F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("sha1")),
         F.when(F.col("revisit"), F.concat(F.lit("\r\nWARC-Refers-To: "), name(F.col("refers_to")), F.lit(f"\r\nWARC-Profile: {PROFILE}")))
         .otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
