@@ -39,23 +39,32 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_MATCHES = 100_000
 
 
+def canonical_text(text: Column) -> Column:
+    """Lower-case tokens with one blank between them: numbers as they are
+    (without group and decimal marks), names and units with a mark before
+    them. Each pattern begins with a plain character, so that most positions
+    of a text are passed over at once."""
+    plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "")
+    plain = F.regexp_replace(plain, r"([0-9])[.,](?=[0-9])", "$1")
+    plain = F.regexp_replace(plain, rf"([0-9])\x20?(?i:({UNITS}))(?![\p{{L}}\p{{Nd}}])", f"$1 {UNIT}$2")
+    plain = F.replace(plain, F.lit(f"{UNIT}%"), F.lit(f"{UNIT}percent"))
+    plain = F.regexp_replace(plain, r"\x20(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{Nd},;]\x20)", f" {NAME}")
+    plain = F.regexp_replace(plain, rf"[^a-zA-Z0-9\p{{L}}\p{{M}}\p{{Nd}}{NAME}{UNIT}]+", " ")
+    return F.trim(F.lower(plain))
+
+
+def template_text(canonical: Column) -> Column:
+    """Placeholders in place of numbers, names and units."""
+    marked = F.regexp_replace(canonical, rf"([{NAME}{UNIT}])[^\x20]+", "$1")
+    return F.regexp_replace(marked, r"[0-9](?<![^\x20].)[^\x20]*", NUMBER)
+
+
 def canonical_tokens(text: Column) -> Column:
-    """Tokens of a text: numbers as they are, names and units with a mark
-    before them. An empty text has one empty token."""
-    marks = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "")
-    units = F.regexp_replace(marks, rf"(?i)(?<=\p{{Nd}})(\x20?)({UNITS})(?![\p{{L}}\p{{Nd}}])", f"$1 {UNIT}$2")
-    percent = F.regexp_replace(units, f"{UNIT}%", f"{UNIT}percent")
-    names = F.regexp_replace(percent, r"(?<=[\p{Ll}\p{Nd},;]\x20)(?=\p{Lu}\p{Ll})", NAME)
-    spaced = F.regexp_replace(names, rf"(?:(?<!\p{{Nd}})[.,]|[.,](?!\p{{Nd}})|[^\p{{L}}\p{{M}}\p{{Nd}}.,{NAME}{UNIT}])+", " ")
-    return F.split(F.trim(F.lower(spaced)), " ")
+    return F.split(canonical_text(text), " ")
 
 
-def template(tokens: Column) -> Column:
-    """Placeholders in place of numbers, names and units."""
-    def one(t: Column) -> Column:
-        first = F.substring(t, 1, 1)
-        return (F.when(first.isin(NAME, UNIT), first).when((first >= "0") & (first <= "9"), F.lit(NUMBER)).otherwise(t))
-    return F.transform(tokens, one)
+def template_tokens(text: Column) -> Column:
+    return F.split(template_text(canonical_text(text)), " ")
 
 
 def _hashes(tokens: str, window: int) -> Column:
@@ -66,9 +75,9 @@ def _hashes(tokens: str, window: int) -> Column:
 def item_windows(items: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
     """``(hash, item_id, ipos, slots)`` of all windows of the items, with names
     as placeholders and as words."""
-    tokens = items.select("item_id", canonical_tokens(F.col("text")).alias("tokens"))
-    plain = F.transform("tokens", lambda t: F.when(F.substring(t, 1, 1) == NAME, F.substring(t, 2, 1 << 30)).otherwise(t))
-    forms = tokens.unionByName(tokens.select("item_id", plain.alias("tokens"))).select("item_id", template(F.col("tokens")).alias("form"))
+    texts = items.select("item_id", canonical_text(F.col("text")).alias("text"))
+    texts = texts.unionByName(texts.select("item_id", F.translate("text", NAME, "").alias("text")))
+    forms = texts.select("item_id", F.split(template_text(F.col("text")), " ").alias("form"))
     at = F.when(F.size("form") >= window, F.sequence(F.lit(1), F.size("form") - (window - 1)))
     rows = forms.select("item_id", "form", F.explode(at).alias("at"))
     rows = rows.withColumn("part", F.slice("form", F.col("at"), F.lit(window)))
@@ -97,7 +106,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_literals:
     small = F.broadcast if index.count() <= BROADCAST_ROWS else (lambda df: df)
     totals = index.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
 
-    forms = _keyed(docs).select("doc_id", "text_hash", template(canonical_tokens(F.col("text"))).alias("form"))
+    forms = _keyed(docs).select("doc_id", "text_hash", template_tokens(F.col("text")).alias("form"))
     hashed = forms.select("doc_id", "text_hash", _hashes("form", window).alias("hashes"))
     # the outer form keeps the optimiser from computing the hashes twice, once to filter empty arrays
     windows = hashed.select("doc_id", "text_hash", F.posexplode_outer("hashes").alias("pos", "hash"))
@@ -123,20 +132,21 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_literals:
 def _consistent(docs: DataFrame, items: DataFrame, hits: DataFrame, n_hits: int, window: int) -> DataFrame:
     """The alignments whose slots are consistent: equal values of the item
     stand against equal values of the document."""
-    item_tokens = items.select(F.col("item_id").alias("_item"), canonical_tokens(F.col("text")).alias("item_tokens"))
+    item_tokens = items.select(F.col("item_id").alias("_item"), canonical_tokens(F.col("text")).alias("item_tokens"),
+                               template_tokens(F.col("text")).alias("item_form"))
     wanted = hits.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
     wanted = F.broadcast(wanted) if n_hits <= BROADCAST_MATCHES else wanted
     rows = (_keyed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
             .dropDuplicates(["doc_id", "text_hash", "item_id", "shift"])
             .join(item_tokens, F.col("item_id").eqNullSafe(F.col("_item")))
-            .select("doc_id", "text_hash", "item_id", "at", "shift", "item_tokens", canonical_tokens(F.col("text")).alias("tokens")))
+            .select("doc_id", "text_hash", "item_id", "at", "shift", "item_tokens", "item_form", canonical_tokens(F.col("text")).alias("tokens")))
 
     def bare(t: Column) -> Column:
         return F.when(F.substring(t, 1, 1).isin(NAME, UNIT), F.substring(t, 2, 1 << 30)).otherwise(t)
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + window - 1))))
     pairs = F.transform(covered, lambda p: F.struct(
         bare(F.get("item_tokens", p)).alias("of_item"), bare(F.get("tokens", p + F.col("shift").cast("int"))).alias("of_doc"),
-        F.get(template(F.col("item_tokens")), p).isin(NUMBER, NAME, UNIT).alias("slot")))
+        F.get("item_form", p).isin(NUMBER, NAME, UNIT).alias("slot")))
     rows = rows.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda x: x["slot"])))
     values = F.array_distinct(F.transform("pairs", lambda x: x["of_item"]))
     return (rows.filter(F.size("pairs") == F.size(values))
