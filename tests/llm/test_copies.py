@@ -140,6 +140,33 @@ def test_edit_distance():
     assert line_dedup.edit_distance(a, a[:100] + "XY" + a[103:]) == plain(a, a[:100] + "XY" + a[103:])
 
 
+def test_similar_is_the_exact_decision():
+    rng = random.Random(12)
+    words = [f"{'abcdefghij'[i % 10] * (1 + i % 7)}{i}" for i in range(40)]
+    seen = set()
+    for _ in range(400):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 25))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            i = rng.randrange(len(b) + 1)
+            b[i:i + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+        x, y = " ".join(a), " ".join(b)
+        got = line_dedup.similar(x, y)
+        seen.add(got)
+        assert got == (1 - line_dedup.edit_distance(x, y) / max(len(x), len(y), 1) >= 0.8 - 1e-12)
+    assert seen == {True, False}
+
+
+def test_line_simhash_against_plain_counts():
+    rng = random.Random(9)
+    lines = [[f"w{rng.randint(0, 400)}".encode() for _ in range(n)] for n in (1, 2, 5, 60, 255, 256, 700, 1021)]
+    assert list(line_dedup.line_simhashes(lines, piece_words=300)) == list(line_dedup.line_simhashes(lines))
+    for words, got in zip(lines, line_dedup.line_simhashes(lines)):
+        hashes = [int(line_dedup._mixed(np.array([int.from_bytes(xxhash.xxh64_digest(w), "little") >> 20], np.uint64))[0]) for w in set(words)]
+        assert int(got) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert line_dedup.normalise("Tab\there, 12.5 KM -- Ünï_codé «x»!") == "tab here 00 0 km ünï codé «x»"
+
+
 def brute_lines(rows):
     """Removed line numbers of each different (id, text)."""
     seen = {}
