@@ -48,12 +48,19 @@ def main(argv=None) -> int:
     a = ap.parse_args(argv)
 
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
-    from .session import ensure_checkpoint_dir
+    from .session import clear_scratch, ensure_checkpoint_dir
     spark = SparkSession.builder.appName("tablekeep").getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ensure_checkpoint_dir(spark)
+    try:
+        return _command(spark, a)
+    finally:
+        clear_scratch(spark)
+
+
+def _command(spark, a) -> int:
+    from pyspark.sql import functions as F
 
     if a.cmd == "export":
         from .plans.export import export_database

@@ -81,9 +81,21 @@ def _chunk_batches(size: int, prefix: str, suffix: str, max_bytes: int = 512 <<
             if n == 0:
                 return
             arr = arr.cast(pa.large_string())
-            starts = list(range(0, n, size)) + [n]
-            # group records so one output batch stays well under 2 GiB
+            # a chunk ends after ``size`` rows, or earlier at ``max_bytes``
             lens = pc.binary_length(arr)
+            starts = []
+            for c in range(0, n, size):
+                starts.append(c)
+                part = lens.slice(c, min(size, n - c))
+                if (pc.sum(part).as_py() or 0) > max_bytes:
+                    acc = 0
+                    for i, b in enumerate(part.to_pylist()):
+                        if acc and acc + (b or 0) > max_bytes:
+                            starts.append(c + i)
+                            acc = 0
+                        acc += b or 0
+            starts.append(n)
+            # group records so one output batch stays well under 2 GiB
             group_start = 0
             acc = 0
             bounds = []
@@ -112,6 +124,9 @@ def _chunk_batches(size: int, prefix: str, suffix: str, max_bytes: int = 512 <<
                 continue
             pending.append(col)
             pending_rows += len(col)
+            if pending_rows < size and sum(c.nbytes for c in pending) > max_bytes:
+                yield from emit(pa.concat_arrays([c.cast(pa.large_string()) for c in pending]))
+                pending, pending_rows = [], 0
             if pending_rows >= size:
                 whole = pa.concat_arrays([c.cast(pa.large_string()) for c in pending])
                 cut = (pending_rows // size) * size

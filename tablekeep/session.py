@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -60,7 +61,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder, for staged tables and
     job outputs that other tasks or jobs must be able to read."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/tablekeep-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/tablekeep-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything staged by this application so far. Results that are
+    not computed yet may read staged tables: call it when a job has ended."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        remove_path(spark, path)
 
 
 def local_path(path: str) -> str:

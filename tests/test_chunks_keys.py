@@ -70,3 +70,15 @@ def test_key_predicates(spark):
     out = df.select(keys.is_backup_key(F.col("key"), F.lit("/site/")).alias("a"), "f3",
                     keys.is_safe_key("bucket", "key").alias("b"), "f4").collect()
     assert all(r.a == r.f3 and r.b == r.f4 for r in out)
+
+
+def test_chunks_of_wide_rows_end_at_a_byte_bound():
+    import pyarrow as pa
+
+    from tablekeep.operators.chunks import _chunk_batches
+    rows = ["(" + "x" * n + ")" for n in (10, 500, 500, 10, 10, 900, 5, 5, 5, 5, 5, 5)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows[i:i + 5])], names=["tuple"]) for i in range(0, len(rows), 5)]
+    for size in (4, 100):
+        out = [v for b in _chunk_batches(size, "H\n", ";\n", max_bytes=1000)(iter(batches)) for v in b.column(0).to_pylist()]
+        assert [t for v in out for t in v[2:-2].split(",\n")] == rows
+        assert all(len(v) <= 1100 and v.count("(") <= size for v in out)

@@ -61,3 +61,25 @@ def test_export_database_key_and_size(spark, tmp_root):
     assert r.size_bytes > 0 and r.created_at == "2026-08-10T03:00:00+00:00"
     text = "".join(x.value + "\n" for x in spark.read.text(os.path.join(tmp_root, r.key, "000000-header")).collect())
     assert text.endswith("SET NAMES utf8mb4;\nSET FOREIGN_KEY_CHECKS=0;\n\n")
+
+
+def test_building_a_comparison_runs_no_job(spark, tmp_path):
+    t = spark.range(100).repartition(2)
+    dump.write_dump({"t": t}, f"{tmp_path}/d", "now")
+    back = dump.read_dump(spark, f"{tmp_path}/d")["t"]
+    spark.sparkContext.setJobGroup("plan-only", "building")
+    try:
+        diff = verify.diff_rows(t, back)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert diff.count() == 0
+
+
+def test_scratch_is_removed_at_the_end(spark):
+    from tablekeep.session import clear_scratch, local_path, scratch_path
+    path = scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(local_path(path))
+    clear_scratch(spark)
+    assert not os.path.exists(local_path(path))
