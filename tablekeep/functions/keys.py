@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,12 +14,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Every Latin-1 character that the safe-name pattern does not allow.
+_UNSAFE = "".join(chr(i) for i in range(256) if re.match(K.SAFE_NAME_PATTERN, chr(i)))
+
+
 def safe_name(c) -> Column:
     """Every *byte* outside ``[A-Za-z0-9._-]`` becomes ``_``, so a
     three-byte character gives three underscores; empty gives ``database``.
     Re-reading the UTF-8 bytes as Latin-1 makes each byte one character."""
     latin = F.decode(F.encode(_col(c), "UTF-8"), "ISO-8859-1")
-    out = F.regexp_replace(latin, K.SAFE_NAME_PATTERN, "_")
+    out = F.translate(latin, _UNSAFE, "_" * len(_UNSAFE))
     return F.when(F.coalesce(out, F.lit("")) == "", F.lit(K.SAFE_NAME_FALLBACK)).otherwise(out)
 
 
