@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablekeep.llm import common, line_dedup, simhash, suffix_dedup
 
-from .conftest import EDGE, make_docs
+from .conftest import EDGE, SF001, make_docs
 
 
 def brute_fingerprint(text):
@@ -220,6 +220,24 @@ def test_lines_against_brute_force(spark, edge):
     assert sum(map(len, brute_lines(line_rows()).values())) > 60  # fuzzy links occur
 
 
+def test_lines_of_ordinary_length_are_found_by_edit_similarity(spark):
+    rng = random.Random(4)
+    lines = sorted({line_dedup.normalise(x) for r in common.load(spark, SF001, "documents").select("text").collect() for x in (r.text or "").split("\n")})
+    words = [w for x in rng.sample(lines, 500) for w in x.split()]
+    rows, wanted = [], {}
+    for low, high in ((5, 9), (10, 19), (20, 40)):
+        for x in rng.sample([x for x in lines if low <= len(x.split()) <= high], 150):
+            parts = x.split()
+            parts[rng.randrange(len(parts))] = rng.choice(words)
+            y = " ".join(parts)
+            if x != y and 1 - line_dedup.edit_distance(x, y) / max(len(x), len(y)) >= 0.8:
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+                wanted.setdefault(low, []).append(len(rows) - 1)
+    gone = {r.doc_id for r in line_dedup.dedup_report(make_docs(spark, rows)).filter("n_removed > 0").collect()}
+    found = {low: sum(i in gone for i in ids) / len(ids) for low, ids in wanted.items()}
+    assert found[5] >= 0.85 and found[10] >= 0.97 and found[20] >= 0.98, found
+
+
 def test_large_block_keys_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "TILE", 2)
     want = brute_lines(line_rows())
