@@ -238,6 +238,18 @@ def test_lines_of_ordinary_length_are_found_by_edit_similarity(spark):
     assert found[5] >= 0.85 and found[10] >= 0.97 and found[20] >= 0.98, found
 
 
+def test_long_lines_with_a_changed_word_are_candidates():
+    rng = random.Random(6)
+    words = [f"{'abcdefghijklmnop'[i % 16] * (1 + i % 4)}{'qrstuvw'[i % 7]}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(3000)]
+    for low, high in ((20, 39), (40, 79), (80, 120)):
+        lines = [[rng.choice(words) for _ in range(rng.randint(low, high))] for _ in range(300)]
+        changed = [[*x[:at], rng.choice(words), *x[at + 1:]] for x in lines for at in [rng.randrange(len(x))]]
+        a, b = (line_dedup.line_minima([" ".join(x).encode() for x in side]) for side in (lines, changed))
+        shared = (a.view(np.uint32) == b.view(np.uint32)).any(axis=1)
+        sketches = [np.ascontiguousarray(m[:, :16].astype(np.uint8)).view(np.uint64) for m in (a, b)]
+        assert (shared & line_dedup._agree(*sketches)).mean() >= 0.99
+
+
 def test_large_block_keys_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "TILE", 2)
     want = brute_lines(line_rows())
