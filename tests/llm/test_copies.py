@@ -250,6 +250,13 @@ def test_long_lines_with_a_changed_word_are_candidates():
         assert (shared & line_dedup._agree(*sketches)).mean() >= 0.99
 
 
+def test_short_lines_and_lines_without_blanks_collapse(spark):
+    rows = [(1, "Read more\n\nok\n昨日は雨が降ったので家で本を読んでいた。夜には友達が来た"), (2, "read more!\n\nno"),
+            (3, "昨日は雨が降ったので家で本を読んでいた。夜には友達が来た\nOK"), (4, "read mode\nok so")]
+    got = {r.doc_id: r.removed_lines for r in line_dedup.dedup_report(make_docs(spark, rows)).collect()}
+    assert got == {1: [], 2: [0], 3: [0, 1], 4: []}
+
+
 def test_large_block_keys_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "TILE", 2)
     want = brute_lines(line_rows())
