@@ -101,10 +101,14 @@ def _minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int, l2: fl
     return w[:-1], float(w[-1])
 
 
-def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, steps: int = 400, l2: float = 1e-3) -> Model:
+def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, steps: int = 400, l2: float = 1e-3,
+        n_p: float | None = None, n_n: float | None = None) -> Model:
     """Fit on features of trusted positives, labelled bad rows (class prior
-    and calibration only) and unlabelled rows. Without positives or unlabelled
-    rows every score is the prior."""
+    and calibration only) and unlabelled rows. ``n_p`` and ``n_n`` are the
+    counts that the positives and bad rows were sampled from, if they are
+    samples: they give the prior and weigh the rows in the calibration.
+    Without positives or unlabelled rows every score is the prior."""
+    n_p, n_n = len(x_p) if n_p is None else n_p, len(x_n) if n_n is None else n_n
     both = np.vstack([x_p, x_u])
     d = both.shape[1]
     if not len(x_p) or not len(x_u):
@@ -113,7 +117,7 @@ def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, steps: int = 400, l2:
     scale[scale < 1e-9] = 1.0
     z_p, z_n, z_u = (np.clip((x - mean) / scale, -8, 8) for x in (x_p, x_n, x_u))
     if len(x_n):
-        prior = len(x_p) / (len(x_p) + len(x_n))
+        prior = n_p / (n_p + n_n)
     else:
         w, b = _minimise(z_p, z_u, 0.5, steps // 2, l2, False)
         prior = estimated_prior(z_p @ w + b, z_u @ w + b)
@@ -121,9 +125,10 @@ def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, steps: int = 400, l2:
     slope, shift = 1.0, 0.0
     if len(x_n):
         g, y = np.concatenate([z_p @ w + b, z_n @ w + b]), np.repeat([1.0, 0.0], [len(z_p), len(z_n)])
+        weight = np.repeat([n_p / len(z_p), n_n / len(z_n)], [len(z_p), len(z_n)])
         for _ in range(200):  # Newton steps of a two-parameter logistic regression
             p = 1 / (1 + np.exp(-np.clip(slope * g + shift, -30, 30)))
-            r, h = y - p, p * (1 - p) + 1e-9
+            r, h = weight * (y - p), weight * (p * (1 - p) + 1e-9)
             a = np.array([[np.sum(h * g * g) + 1.0, np.sum(h * g)], [np.sum(h * g), np.sum(h) + 1e-3]])
             step = np.linalg.solve(a, np.array([np.sum(r * g) - (slope - 1), np.sum(r)]))
             slope, shift = slope + np.clip(step[0], -1, 1), shift + np.clip(step[1], -1, 1)
@@ -151,7 +156,8 @@ def _sample(rows: DataFrame, n: int, max_rows: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on the labelled training rows and a hash sample of all documents,
-    at most about ``max_rows`` of each kind."""
+    at most about ``max_rows`` of each kind; the class shares are those of all
+    labelled training rows."""
     width = len(text_features(""))
     marks = (labels.filter("doc_id is not null and quality is not null").filter(~held_out())
              .groupBy("doc_id").agg(F.max((F.col("quality") != 0).cast("int")).alias("kind")))
@@ -173,7 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
     order = np.lexsort([*x.T, kind])  # the same sums whatever the order of arrival
     kind, x = kind[order], x[order]
-    return fit(x[kind == 1], x[kind == 0], x[kind == 2])
+    # a sampled row stands for as many rows as its kind's share leaves out
+    n_p, n_n = (np.sum(kind == k) * max(1.0, n_kind.get(k, 0) / max_rows) for k in (1, 0))
+    return fit(x[kind == 1], x[kind == 0], x[kind == 2], n_p=n_p, n_n=n_n)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

@@ -81,6 +81,24 @@ def test_classifier_never_learns_from_held_out_labels(spark):
     assert all(h == pu_quality.in_fold(i) for i, _, h in a)
 
 
+def test_capped_labels_keep_the_class_shares(spark):
+    docs, labels = load(spark, SF001, "documents"), load(spark, SF001, "labels")
+    whole, capped = pu_quality.train(docs, labels), pu_quality.train(docs, labels, max_rows=40)
+    assert whole.prior > 0.75 and abs(capped.prior - whole.prior) < 0.06
+    kept = [pu_quality.score(docs, m).filter("score >= 0.3").count() / docs.count() for m in (whole, capped)]
+    assert abs(kept[0] - kept[1]) < 0.05
+
+
+def test_weights_of_the_calibration_stand_for_rows_left_out():
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0.7, 1, (4000, 3)), rng.normal(-0.7, 1, (600, 3))
+    either = np.concatenate([good, bad])
+    whole = pu_quality.fit(good, bad, either)
+    capped = pu_quality.fit(good[:600], bad, either, n_p=4000, n_n=600)
+    assert capped.prior == whole.prior
+    assert np.abs(capped.score(either) - whole.score(either)).mean() < 0.03
+
+
 def test_classifier_edge_rows(spark, edge, empty):
     for labels in (labels_of(spark, []), labels_of(spark, [(1, 1, 0, "x"), (15, 0, 0, "x"), (15, 0, 0, "x"), (None, 1, 0, "x"), (7, None, 0, "x")])):
         got = pu_quality.classify(edge, labels).collect()
