@@ -10,6 +10,9 @@ functions only.
   window counts if at least ``MIN_LITERALS`` of its tokens are words, not
   placeholders. Items are indexed with names as placeholders and as plain
   words, so a text in lower case is found too.
+- **Exact windows.** Item windows with fewer words, and whole items of
+  ``MIN_LITERALS`` to ``WINDOW`` - 1 tokens, are joined by their tokens with
+  all values, so verbatim copies of them are found.
 - **Slot consistency.** Windows of one document and item at the same offset
   are one alignment. In it, equal slot values of the item must stand against
   equal values in the document; an alignment that breaks this is dropped. The
@@ -86,6 +89,42 @@ def item_windows(items: DataFrame, window: int = WINDOW, min_literals: int = MIN
             .filter(F.col("slots") <= window - min_literals).distinct())
 
 
+def exact_tokens(canonical: Column) -> Column:
+    return F.split(F.translate(canonical, NAME + UNIT, ""), " ")
+
+
+def exact_windows(items: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
+    """``(hash, item_id, ipos, n)`` of the windows that ``item_windows`` leaves
+    out for their slots, and of whole items of ``min_literals`` tokens up to a
+    window, by their ``n`` tokens with values."""
+    texts = items.select("item_id", canonical_text(F.col("text")).alias("text"))
+    forms = texts.select("item_id", F.split(template_text(F.col("text")), " ").alias("form"), exact_tokens(F.col("text")).alias("tokens"))
+    n = F.least(F.size("form"), F.lit(window))
+    rows = forms.filter(F.size("form") >= min(window, min_literals)).select(
+        "item_id", "form", "tokens", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("form") - n + 1)).alias("at"))
+    slots = F.size(F.filter(F.slice("form", F.col("at"), F.col("n")), lambda t: t.isin(NUMBER, NAME, UNIT)))
+    # inside a document the first word of an item may be taken for a name
+    few = slots + (F.col("at") == 1).cast("int") > window - min_literals
+    return (rows.filter(few | (F.col("n") < window))
+            .select(F.xxhash64(F.slice("tokens", F.col("at"), F.col("n"))).alias("hash"), "item_id",
+                    (F.col("at") - 1).alias("ipos"), "n").distinct())
+
+
+def _exact_hits(docs: DataFrame, index: DataFrame, window: int, min_literals: int, small) -> DataFrame:
+    """``(doc_id, text_hash, item_id, ipos)`` of exact windows in the documents."""
+    out = None
+    for n in sorted(r.n for r in index.select("n").distinct().collect()):  # at most as many as a window has tokens
+        texts = _keyed(docs).select("doc_id", "text_hash", canonical_text(F.col("text")).alias("text"))
+        if n == window:  # texts with fewer slots hold none of these windows
+            form = template_text(F.col("text"))
+            texts = texts.filter(F.length(form) - F.length(F.translate(form, NUMBER + NAME + UNIT, "")) > window - min_literals)
+        tokens = texts.select("doc_id", "text_hash", exact_tokens(F.col("text")).alias("tokens"))
+        windows = tokens.select("doc_id", "text_hash", F.explode_outer(_hashes("tokens", n)).alias("hash"))
+        got = windows.join(small(index.filter(F.col("n") == n)), "hash").select("doc_id", "text_hash", "item_id", "ipos").distinct()
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     # rows are told apart by id and text: equal rows are one document
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
@@ -97,14 +136,19 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_literals:
     per contaminated document and item. ``kind`` is ``verbatim`` or
     ``reparameterised``.
 
-    Null texts and items are empty and match nothing, as do items shorter than
-    a window. A null ``doc_id`` is reported as null. Rows equal in id and text
+    Null texts and items are empty and match nothing, as do items of fewer than
+    ``min_literals`` tokens. ``n_windows`` and ``item_windows`` count template
+    and exact windows; enough of the template windows alone also report a
+    document. A null ``doc_id`` is reported as null. Rows equal in id and text
     are one document; items that share an id count as one item. Empty tables
     give an empty result; other columns are ignored, whatever their names.
     """
     index = common.stage(item_windows(items, window, min_literals), "item-windows")
     small = F.broadcast if index.count() <= BROADCAST_ROWS else (lambda df: df)
-    totals = index.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
+    exact = common.stage(exact_windows(items, window, min_literals), "item-exact-windows")
+    totals = (index.select("item_id", "ipos", F.lit(True).alias("open")).distinct()
+              .unionByName(exact.select("item_id", "ipos", F.lit(False).alias("open")).distinct()).groupBy("item_id")
+              .agg(F.countDistinct("ipos").alias("item_windows"), F.count_if("open").alias("item_open")))
 
     forms = _keyed(docs).select("doc_id", "text_hash", template_tokens(F.col("text")).alias("form"))
     hashed = forms.select("doc_id", "text_hash", _hashes("form", window).alias("hashes"))
@@ -121,10 +165,18 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_literals:
     if n_open:
         aligned = _consistent(docs, items, open_hits, n_open, window)
         plain = plain.unionByName(aligned)
-    found = (plain.select("doc_id", "text_hash", "item_id", "same", F.explode("at").alias("ipos"))
+    places = plain.select("doc_id", "text_hash", "item_id", "same", F.explode("at").alias("ipos"), F.lit(True).alias("open"))
+    n_exact = exact.count()
+    if n_exact:
+        put = F.broadcast if n_exact <= BROADCAST_ROWS else (lambda df: df)
+        literal = _exact_hits(docs, exact, window, min_literals, put)
+        places = places.unionByName(literal.select("doc_id", "text_hash", "item_id", F.lit(True).alias("same"), "ipos", F.lit(False).alias("open")))
+    found = (places.groupBy("doc_id", "text_hash", "item_id", "ipos").agg(F.min("same").alias("same"), F.max("open").alias("open"))
              .groupBy("doc_id", "text_hash", "item_id")
-             .agg(F.countDistinct("ipos").alias("n_windows"), F.min("same").alias("same")))
-    return (found.join(totals, "item_id").filter(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows")))
+             .agg(F.count("*").alias("n_windows"), F.count_if("open").alias("n_open"), F.min("same").alias("same")))
+    enough = ((F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows")))
+              | ((F.col("item_open") > 0) & (F.col("n_open") >= F.least(F.lit(min_windows), F.col("item_open")))))
+    return (found.join(totals, "item_id").filter(enough)
             .select("doc_id", "text_hash", "item_id", "n_windows", "item_windows",
                     F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind")))
 

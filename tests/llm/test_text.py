@@ -207,6 +207,15 @@ def test_leaks_and_slots(spark, empty):
     assert decontam.leaks(empty, items).count() == 0 and decontam.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_items_of_few_words_are_found_verbatim(spark):
+    sums = "Add 12, 15, 18, 21, 24, 27 and 30 then divide by 4"
+    items = spark.createDataFrame([(1, sums), (2, "What is 17 times 23 minus 5?"), (3, "too short"), (4, None)], "item_id long, text string")
+    docs = make_docs(spark, [(1, "Some words, and then: " + sums + ". Done"), (2, sums.lower()), (3, sums.replace("21", "22")), (4, None),
+                             (5, "Q. What is 17 times 23 minus 5? A. 386"), (6, "What is 17 times 23 minus 6?"), (7, "too short"), (8, "")])
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs, items).collect()}
+    assert got == {(1, 1): "verbatim", (2, 1): "verbatim", (5, 2): "verbatim"}
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     docs = make_docs(spark, [(i, t) for i, t, _ in LEAKS])
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
