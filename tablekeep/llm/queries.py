@@ -9,7 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, lm_score, mixing, pu_quality, rules, simhash, suffix_dedup, token_counts, warc
+from . import (
+    decontam, heap_kmeans, kd_shards, line_dedup, lm_score, mixing, pu_quality, rules, simhash, suffix_dedup, token_counts, warc,
+    whitening,
+)
 from .common import load
 
 
@@ -68,10 +71,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "item_id", "n_windows", "item_windows", "kind"))
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document, 40 shards of near equal bytes."""
+    return kd_shards.shard_report(load(spark, sf_dir, "documents"), 40)
+
+
+def op12_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding of 64 components."""
+    return heap_kmeans.cluster_report(load(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every embedding."""
+    return whitening.whitening_report(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_line_dedup, op4_suffix_dedup, op5_pu_quality,
-                                    op6_token_counts, op7_lm_scoring, op8_warc, op9_simhash, op10_decontamination)}
+                                    op6_token_counts, op7_lm_scoring, op8_warc, op9_simhash, op10_decontamination, op11_kd_shards, op12_heap_clusters,
+                                    op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.taken_sql(), "op8_warc": warc.ORACLE_SQL}
+    return {"op2_source_mixing": mixing.taken_sql(), "op8_warc": warc.ORACLE_SQL, "op12_heap_clusters": heap_kmeans.report_sql()}
