@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tablekeep.plans.catalogue import REGISTRY, TABLES
+from tablekeep.plans.catalogue import TABLES
 
 from conftest import SF0001
 
@@ -36,7 +36,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(REGISTRY))
+@pytest.mark.parametrize("name", sorted(entry.REGISTRY))
 def test_query_matches_sql(spark, con, name):
     df = entry.queries()[name](spark, SF0001)
     rows = df.collect()
