@@ -10,13 +10,17 @@ functions only.
   window counts if at least ``MIN_LITERALS`` of its tokens are words, not
   placeholders. Items are indexed with names as placeholders and as plain
   words, so a text in lower case is found too.
+- **Weak windows.** Windows with fewer words (``WEAK_LITERALS`` at least), as
+  arithmetic items have, count where the windows of one alignment hold
+  ``MIN_LITERALS`` different words of the item between them.
 - **Exact windows.** Item windows with fewer words, and whole items of
   ``MIN_LITERALS`` to ``WINDOW`` - 1 tokens, are joined by their tokens with
   all values, so verbatim copies of them are found.
 - **Slot consistency.** Windows of one document and item at the same offset
   are one alignment. In it, equal slot values of the item must stand against
-  equal values in the document; an alignment that breaks this is dropped. The
-  rest is a leak: verbatim if all values are equal, else re-parameterised.
+  equal values in the document; windows that cover a value that breaks this are
+  dropped. The rest is a leak: verbatim if all values are equal, else
+  re-parameterised.
 - A document and an item are reported if ``MIN_WINDOWS`` different windows of
   the item match (all of them, for items with fewer).
 """
@@ -31,6 +35,7 @@ from . import common
 WINDOW = 8
 MIN_LITERALS = 5
 MIN_WINDOWS = 6
+WEAK_LITERALS = 2
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"  # private-use characters: marks of the slot types
 #: Fixed list of unit words, recognised after a number.
 UNITS = ("%|percent|km|kilometers?|kilometres?|m|meters?|metres?|cm|mm|miles?|mi|ft|feet|foot|inch(?:es)?|yards?|kg|kilograms?|g|grams?|mg"
@@ -76,8 +81,10 @@ def _hashes(tokens: str, window: int) -> Column:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """``(hash, item_id, ipos, slots)`` of all windows of the items, with names
-    as placeholders and as words."""
+    """``(hash, item_id, ipos, slots, weak)`` of the windows of the items, with
+    names as placeholders and as words. Windows with fewer than
+    ``min_literals`` words are weak; with fewer than ``WEAK_LITERALS`` they
+    are left out."""
     texts = items.select("item_id", canonical_text(F.col("text")).alias("text"))
     texts = texts.unionByName(texts.select("item_id", F.translate("text", NAME, "").alias("text")))
     forms = texts.select("item_id", F.split(template_text(F.col("text")), " ").alias("form"))
@@ -86,7 +93,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, min_literals: int = MIN
     rows = rows.withColumn("part", F.slice("form", F.col("at"), F.lit(window)))
     slots = F.size(F.filter("part", lambda t: t.isin(NUMBER, NAME, UNIT)))
     return (rows.select(F.xxhash64("part").alias("hash"), "item_id", (F.col("at") - 1).alias("ipos"), slots.alias("slots"))
-            .filter(F.col("slots") <= window - min_literals).distinct())
+            .filter(F.col("slots") <= window - WEAK_LITERALS).withColumn("weak", F.col("slots") > window - min_literals).distinct())
 
 
 def exact_tokens(canonical: Column) -> Column:
@@ -111,18 +118,22 @@ def exact_windows(items: DataFrame, window: int = WINDOW, min_literals: int = MI
 
 
 def _exact_hits(docs: DataFrame, index: DataFrame, window: int, min_literals: int, small) -> DataFrame:
-    """``(doc_id, text_hash, item_id, ipos)`` of exact windows in the documents."""
-    out = None
-    for n in sorted(r.n for r in index.select("n").distinct().collect()):  # at most as many as a window has tokens
-        texts = _keyed(docs).select("doc_id", "text_hash", canonical_text(F.col("text")).alias("text"))
-        if n == window:  # texts with fewer slots hold none of these windows
-            form = template_text(F.col("text"))
-            texts = texts.filter(F.length(form) - F.length(F.translate(form, NUMBER + NAME + UNIT, "")) > window - min_literals)
-        tokens = texts.select("doc_id", "text_hash", exact_tokens(F.col("text")).alias("tokens"))
-        windows = tokens.select("doc_id", "text_hash", F.explode_outer(_hashes("tokens", n)).alias("hash"))
-        got = windows.join(small(index.filter(F.col("n") == n)), "hash").select("doc_id", "text_hash", "item_id", "ipos").distinct()
-        out = got if out is None else out.unionByName(got)
-    return out
+    """``(doc_id, text_hash, item_id, ipos)`` of exact windows in the
+    documents; one scan for windows of all lengths."""
+    lengths = sorted(r.n for r in index.select("n").distinct().collect())  # at most as many as a window has tokens
+    texts = _keyed(docs).select("doc_id", "text_hash", canonical_text(F.col("text")).alias("text"))
+    form = template_text(F.col("text"))
+    slots = F.length(form) - F.length(F.translate(form, NUMBER + NAME + UNIT, ""))
+    tokens = texts.select("doc_id", "text_hash", exact_tokens(F.col("text")).alias("tokens"),
+                          # texts with fewer slots hold none of the windows of full length
+                          (slots > window - min_literals if window in lengths else F.lit(False)).alias("many"))
+
+    def of_length(n: int) -> Column:
+        named = F.transform(_hashes("tokens", n), lambda h: F.struct(F.lit(n).alias("n"), h.alias("hash")))
+        return F.coalesce(F.when(F.col("many") if n == window else F.lit(True), named), F.array().cast("array<struct<n:int,hash:bigint>>"))
+    hashes = [of_length(n) for n in lengths]
+    windows = tokens.select("doc_id", "text_hash", F.explode_outer(F.concat(*hashes)).alias("w")).select("doc_id", "text_hash", "w.n", "w.hash")
+    return windows.join(small(index), ["n", "hash"]).select("doc_id", "text_hash", "item_id", "ipos").distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -138,17 +149,18 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_literals:
 
     Null texts and items are empty and match nothing, as do items of fewer than
     ``min_literals`` tokens. ``n_windows`` and ``item_windows`` count template
-    and exact windows; enough of the template windows alone also report a
-    document. A null ``doc_id`` is reported as null. Rows equal in id and text
+    and exact windows; enough of the template windows alone, or of those that
+    are not weak, also report a document. A null ``doc_id`` is reported as null. Rows equal in id and text
     are one document; items that share an id count as one item. Empty tables
     give an empty result; other columns are ignored, whatever their names.
     """
     index = common.stage(item_windows(items, window, min_literals), "item-windows")
     small = F.broadcast if index.count() <= BROADCAST_ROWS else (lambda df: df)
     exact = common.stage(exact_windows(items, window, min_literals), "item-exact-windows")
-    totals = (index.select("item_id", "ipos", F.lit(True).alias("open")).distinct()
-              .unionByName(exact.select("item_id", "ipos", F.lit(False).alias("open")).distinct()).groupBy("item_id")
-              .agg(F.countDistinct("ipos").alias("item_windows"), F.count_if("open").alias("item_open")))
+    places = index.select("item_id", "ipos", F.lit(True).alias("template"), (~F.col("weak")).alias("open"))
+    places = places.unionByName(exact.select("item_id", "ipos", F.lit(False).alias("template"), F.lit(False).alias("open")))
+    totals = (places.groupBy("item_id", "ipos").agg(F.max("template").alias("template"), F.max("open").alias("open")).groupBy("item_id")
+              .agg(F.count("*").alias("item_windows"), F.count_if("template").alias("item_template"), F.count_if("open").alias("item_open")))
 
     forms = _keyed(docs).select("doc_id", "text_hash", template_tokens(F.col("text")).alias("form"))
     hashed = forms.select("doc_id", "text_hash", _hashes("form", window).alias("hashes"))
@@ -156,7 +168,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_literals:
     windows = hashed.select("doc_id", "text_hash", F.posexplode_outer("hashes").alias("pos", "hash"))
     hits = (windows.join(small(index), "hash")
             .groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"))
-            .agg(F.collect_set("ipos").alias("at"), F.max("slots").alias("slots")))
+            .agg(F.collect_set(F.struct("ipos", "weak")).alias("at"), F.max("slots").alias("slots")))
     hits = common.stage(hits, "template-hits")
 
     plain = hits.filter("slots = 0").select("doc_id", "text_hash", "item_id", "at", F.lit(True).alias("same"))
@@ -165,25 +177,34 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_literals:
     if n_open:
         aligned = _consistent(docs, items, open_hits, n_open, window)
         plain = plain.unionByName(aligned)
-    places = plain.select("doc_id", "text_hash", "item_id", "same", F.explode("at").alias("ipos"), F.lit(True).alias("open"))
+    places = (plain.select("doc_id", "text_hash", "item_id", "same", F.explode("at").alias("at"))
+              .select("doc_id", "text_hash", "item_id", "same", F.col("at.ipos").alias("ipos"), F.lit(True).alias("template"),
+                      (~F.col("at.weak")).alias("open")))
     n_exact = exact.count()
     if n_exact:
         put = F.broadcast if n_exact <= BROADCAST_ROWS else (lambda df: df)
         literal = _exact_hits(docs, exact, window, min_literals, put)
-        places = places.unionByName(literal.select("doc_id", "text_hash", "item_id", F.lit(True).alias("same"), "ipos", F.lit(False).alias("open")))
-    found = (places.groupBy("doc_id", "text_hash", "item_id", "ipos").agg(F.min("same").alias("same"), F.max("open").alias("open"))
+        places = places.unionByName(literal.select("doc_id", "text_hash", "item_id", F.lit(True).alias("same"), "ipos",
+                                                      F.lit(False).alias("template"), F.lit(False).alias("open")))
+    found = (places.groupBy("doc_id", "text_hash", "item_id", "ipos")
+             .agg(F.min("same").alias("same"), F.max("template").alias("template"), F.max("open").alias("open"))
              .groupBy("doc_id", "text_hash", "item_id")
-             .agg(F.count("*").alias("n_windows"), F.count_if("open").alias("n_open"), F.min("same").alias("same")))
-    enough = ((F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows")))
-              | ((F.col("item_open") > 0) & (F.col("n_open") >= F.least(F.lit(min_windows), F.col("item_open")))))
+             .agg(F.count("*").alias("n_windows"), F.count_if("template").alias("n_template"), F.count_if("open").alias("n_open"),
+                  F.min("same").alias("same")))
+    enough = F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows"))
+    for kind in ("template", "open"):
+        enough = enough | ((F.col(f"item_{kind}") > 0) & (F.col(f"n_{kind}") >= F.least(F.lit(min_windows), F.col(f"item_{kind}"))))
     return (found.join(totals, "item_id").filter(enough)
             .select("doc_id", "text_hash", "item_id", "n_windows", "item_windows",
                     F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind")))
 
 
 def _consistent(docs: DataFrame, items: DataFrame, hits: DataFrame, n_hits: int, window: int) -> DataFrame:
-    """The alignments whose slots are consistent: equal values of the item
-    stand against equal values of the document."""
+    """The windows of alignments whose slots are consistent: equal values of
+    the item stand against equal values of the document. A window that covers
+    a value that stands against several is left out, and so are the weak
+    windows of an alignment that cover fewer than ``MIN_LITERALS`` different
+    words of the item between them."""
     item_tokens = items.select(F.col("item_id").alias("_item"), canonical_tokens(F.col("text")).alias("item_tokens"),
                                template_tokens(F.col("text")).alias("item_form"))
     wanted = hits.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
@@ -195,14 +216,23 @@ def _consistent(docs: DataFrame, items: DataFrame, hits: DataFrame, n_hits: int,
 
     def bare(t: Column) -> Column:
         return F.when(F.substring(t, 1, 1).isin(NAME, UNIT), F.substring(t, 2, 1 << 30)).otherwise(t)
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + window - 1))))
-    pairs = F.transform(covered, lambda p: F.struct(
-        bare(F.get("item_tokens", p)).alias("of_item"), bare(F.get("tokens", p + F.col("shift").cast("int"))).alias("of_doc"),
-        F.get("item_form", p).isin(NUMBER, NAME, UNIT).alias("slot")))
-    rows = rows.withColumn("pairs", F.array_distinct(F.filter(pairs, lambda x: x["slot"])))
-    values = F.array_distinct(F.transform("pairs", lambda x: x["of_item"]))
-    return (rows.filter(F.size("pairs") == F.size(values))
-            .select("doc_id", "text_hash", "item_id", "at", F.forall("pairs", lambda x: x["of_item"] == x["of_doc"]).alias("same")))
+
+    def covered(at: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p["ipos"], p["ipos"] + window - 1))))
+    is_slot = lambda p: F.get("item_form", p).isin(NUMBER, NAME, UNIT)
+    slots = F.transform(F.filter(covered(F.col("at")), is_slot), lambda p: F.struct(
+        bare(F.get("item_tokens", p)).alias("of_item"), bare(F.get("tokens", p + F.col("shift").cast("int"))).alias("of_doc"), p.alias("pos")))
+    rows = rows.withColumn("slots", slots)
+    rows = rows.withColumn("pairs", F.array_distinct(F.transform("slots", lambda x: F.struct(x["of_item"].alias("of_item"), x["of_doc"].alias("of_doc")))))
+    broken = F.filter("slots", lambda x: F.size(F.filter("pairs", lambda y: y["of_item"] == x["of_item"])) > 1)
+    rows = rows.withColumn("broken", F.transform(broken, lambda x: x["pos"]))
+    rows = rows.withColumn("at", F.filter("at", lambda p: ~F.exists("broken", lambda q: q.between(p["ipos"], p["ipos"] + window - 1))))
+    words = F.array_distinct(F.transform(F.filter(covered(F.col("at")), lambda p: ~is_slot(p)), lambda p: F.get("item_tokens", p)))
+    rows = rows.withColumn("words", F.size(words))
+    rows = rows.withColumn("at", F.filter("at", lambda p: ~p["weak"] | (F.col("words") >= MIN_LITERALS))).filter("size(at) > 0")
+    kept = covered(F.col("at"))
+    same = F.forall(F.filter("slots", lambda x: F.array_contains(kept, x["pos"])), lambda x: x["of_item"] == x["of_doc"])
+    return rows.select("doc_id", "text_hash", "item_id", "at", same.alias("same"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -189,10 +189,19 @@ def score_documents(docs: DataFrame, targets: DataFrame) -> DataFrame:
 
     def group_of(df: DataFrame, key) -> DataFrame:
         return df.withColumn("db", F.pmod(key, F.lit(n_groups)).cast("int"))
-    # null ids are spread by their texts
-    texts = group_of(rows, F.when(F.col("doc_id").isNull(), F.xxhash64("data")).otherwise(F.xxhash64("doc_id"))).groupBy("db")
-    marks = group_of(targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct(),
-                     F.xxhash64("doc_id")).withColumn("kind", F.lit(0))
+    # the rows of an id with more than a group's bytes are spread by their texts over as many groups as they fill; there
+    # are fewer such ids than groups. Null ids are spread by their texts too.
+    heavy = (rows.filter("doc_id is not null").groupBy("doc_id").agg(F.sum(F.octet_length("data")).alias("bytes"))
+             .filter(F.col("bytes") > GROUP_BYTES).select(F.col("doc_id").alias("heavy_id"), F.ceil(F.col("bytes") / GROUP_BYTES).alias("parts")).collect())
+    heavy = F.broadcast(spark.createDataFrame(heavy, "heavy_id long, parts long"))
+    spread = rows.join(heavy, F.col("doc_id") == F.col("heavy_id"), "left")
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("data"), F.col("parts")))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("data")).otherwise(F.xxhash64("doc_id", part.cast("long")))
+    texts = group_of(spread, key).select("doc_id", "data", "db").groupBy("db")
+    marks = targets.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    marks = marks.join(heavy, F.col("doc_id") == F.col("heavy_id"), "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)))
+    marks = group_of(marks, F.xxhash64("doc_id", "part")).select("doc_id", "db").withColumn("kind", F.lit(0))
     counted = texts.cogroup(marks.groupBy("db")).applyInArrow(
         _count(n_buckets), "hb int, db int, keys binary, all binary, target binary")
     sums = (counted.groupBy("hb").applyInArrow(_add, "hb int, db int, all binary, target binary")

@@ -5,15 +5,21 @@ A linear scorer on text statistics minimises the non-negative unbiased PU risk
 
     prior * E_P[loss(g)] + max(0, E_U[loss(-g)] - prior * E_P[loss(-g)])
 
-Trusted positives are labelled good rows; the unlabelled side is drawn from
-all documents. The class prior is estimated from the labelled training rows,
-or, where no bad row is labelled, from the positives and unlabelled scores
-alone. The margin is then mapped to a probability on the labelled rows.
-
-Fitting uses a bounded sample (``max_rows`` a side, a documented parameter):
-features of that sample only come to the driver. Scoring covers every row.
-Labels are learned from training rows only; labels, language, source and id
-are never inputs of a score.
+Trusted positives are labelled good rows; the unlabelled side is all documents.
+Where the second term is not below zero, the risk is convex: loss(g) - loss(-g)
+is -g, so it is E_U[loss(-g)] less the positives' mean score times the prior.
+Newton steps go down it, with sums over all documents for the loss, gradient
+and curvature of the unlabelled side (one Spark aggregate a step); they stop
+where the second term, the estimated risk of the negatives, would fall below
+zero. The class prior is estimated from the labelled training rows, or, where
+no bad row is labelled, from the positives and unlabelled scores alone. The
+margin is then mapped to a probability on the labelled rows.
+
+Features of all documents are computed once and staged; mean and scale are of
+all documents. Of the labelled rows, at most about ``max_rows`` of each kind (a
+documented parameter) come to the driver, whatever ids they share. Labels are
+learned from training rows only; labels, language, source and id are never
+inputs of a score. A text of any length is read whole, in time linear in it.
 """
 
 from __future__ import annotations
@@ -26,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, vectors
 
-MAX_ROWS = 20_000  # bound of the fitting sample, for each of positives, labelled bad rows and unlabelled rows
+MAX_ROWS = 20_000  # bound of the fitting sample, for each of positives and labelled bad rows
+MOST_STEPS = 25
+L2, L2_ROWS = 0.05, 20.0  # penalty of the weights: L2, and L2_ROWS divided by the positives there are
 FOLDS = 5
 _COUNTED = ["#*$%&|<>", "!", "|", "?", ".", ",", ";:", "0123456789", "/\\_=+~^@", "()[]{}", "\"'`-"]
 
@@ -70,64 +78,331 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
 
 
-def estimated_prior(g_p: np.ndarray, g_u: np.ndarray) -> float:
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features as the scorer sees them, and a column of ones."""
+    return np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
+
+
+def risk_sums(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows: number, loss of taking them for bad, its gradient and
+    its curvature (flat)."""
+    g = z @ w
+    p = _sigmoid(g)
+    return np.concatenate([[len(z), np.logaddexp(0, g).sum()], z.T @ p, ((z * (p * (1 - p))[:, None]).T @ z).reshape(-1)])
+
+
+def _settled(values: np.ndarray, digits: int = 12) -> np.ndarray:
+    """Without the last digits, which depend on the order sums arrive in."""
+    return np.array([float(f"{v:.{digits}g}") for v in values])
+
+
+class Unlabelled:
+    """The unlabelled side of the risk; here of an array of features."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x = x
+
+    def moments(self) -> tuple[int, np.ndarray, np.ndarray]:
+        return len(self.x), self.x.mean(axis=0), self.x.std(axis=0)
+
+    def sums(self, fn) -> np.ndarray:
+        """Sum over all rows of what ``fn`` gives for some."""
+        return fn(self.x)
+
+
+class UnlabelledRows(Unlabelled):
+    """The same over a table ``(doc_id, x)`` of packed features, by Spark
+    aggregates."""
+
+    def __init__(self, features: DataFrame, width: int) -> None:
+        self.features, self.width = features, width
+
+    def sums(self, fn) -> np.ndarray:
+        width = self.width
+        got = vectors.float_totals(self.features, lambda batch: fn(_unpacked(batch.column(1), width)))
+        return np.array([got[i] for i in range(len(got))])
+
+    def moments(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Two passes: the second sums squares about the mean."""
+        d = self.width
+        first = self.sums(lambda x: np.append(x.sum(axis=0), len(x)))
+        if not len(first):
+            return 0, np.zeros(d), np.ones(d)
+        mean = first[:d] / first[d]
+        return int(first[d]), mean, np.sqrt(self.sums(lambda x: ((x - mean) ** 2).sum(axis=0)) / first[d])
+
+
+def estimated_prior(g_p: np.ndarray, shares, n_u: int) -> float:
     """Upper bound of the positive share of the unlabelled rows: the least
-    ratio of their mass to the positives' mass above a score."""
-    if not len(g_p) or not len(g_u):
+    ratio of their mass to the positives' mass above a score. ``shares(cuts)``
+    gives the share of unlabelled rows at or above each cut."""
+    if not len(g_p) or not n_u:
         return 0.5
     cuts = np.quantile(g_p, np.linspace(0.0, 0.9, 46))
-    ratio = [(np.mean(g_u >= c) + 1 / np.sqrt(len(g_u))) / max(np.mean(g_p >= c), 1e-9) for c in cuts]
+    ratio = [(u + 1 / np.sqrt(n_u)) / max(np.mean(g_p >= c), 1e-9) for c, u in zip(cuts, shares(cuts))]
     return float(np.clip(min(ratio), 0.02, 0.98))
 
 
-def _minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int, l2: float, non_negative: bool):
-    """Full-batch Adam on the PU risk; where the estimated negative risk is
-    below zero its gradient is followed upwards instead (non-negative form)."""
+def minimise(z_p: np.ndarray, risk_u, prior: float, l2: float = 1e-3, non_negative: bool = True) -> np.ndarray:
+    """Weights (the last is the bias) of the least PU risk. ``risk_u(w)``: the
+    mean loss of the unlabelled rows, its gradient and curvature."""
+    d = z_p.shape[1]
+    ridge = l2 * np.append(np.ones(d - 1), 0)
+    pull = prior * z_p.mean(axis=0)
+
+    def at(w: np.ndarray):
+        f, grad, hess = risk_u(w)
+        negatives = f - prior * np.logaddexp(0, z_p @ w).mean()
+        return f - pull @ w + ridge @ (w * w) / 2, grad - pull + ridge * w, hess + np.diag(ridge + 1e-9), negatives
+    w = np.zeros(d)
+    value, grad, hess, _ = at(w)
+    for _ in range(MOST_STEPS):
+        step = -np.linalg.solve(hess, grad)
+        for _ in range(12):  # shorter while the risk does not fall, or that of the negatives falls below zero
+            next_value, next_grad, next_hess, negatives = at(w + step)
+            if next_value <= value + 1e-12 and (negatives >= 0 or not non_negative):
+                break
+            step = step / 2
+        else:
+            break
+        gain = value - next_value
+        w, value, grad, hess = w + step, next_value, next_grad, next_hess
+        if gain < 1e-7:
+            break
+    return w
+
+
+def fit_on(x_p: np.ndarray, x_n: np.ndarray, u: Unlabelled, l2: float | None = None, n_p: float | None = None, n_n: float | None = None) -> Model:
+    """Fit on features of trusted positives, labelled bad rows (class prior
+    and calibration only) and the unlabelled side. ``n_p`` and ``n_n`` are the
+    counts that the positives and bad rows were sampled from, if they are
+    samples: they give the prior and weigh the rows in the calibration.
+    Without positives or unlabelled rows every score is 0.5."""
+    n_p, n_n = len(x_p) if n_p is None else n_p, len(x_n) if n_n is None else n_n
+    l2 = L2 + L2_ROWS / max(1, len(x_p)) if l2 is None else l2
     d = x_p.shape[1]
-    w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
-    x_p, x_u = (np.column_stack([x, np.ones(len(x))]) for x in (x_p, x_u))
-
-    def sigmoid(z):
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for t in range(1, steps + 1):
-        g_p, g_u = x_p @ w, x_u @ w
-        positive = -prior * (x_p.T @ sigmoid(-g_p)) / len(x_p)
-        negative = (x_u.T @ sigmoid(g_u)) / len(x_u) - prior * (x_p.T @ sigmoid(g_p)) / len(x_p)
-        risk = np.mean(np.logaddexp(0, g_u)) - prior * np.mean(np.logaddexp(0, g_p))
-        grad = -negative if non_negative and risk < 0 else positive + negative
-        grad = grad + l2 * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, steps: int = 400, l2: float = 1e-3,
-        n_p: float | None = None, n_n: float | None = None) -> Model:
+    n_u, mean, scale = u.moments() if len(x_p) else (0, np.zeros(d), np.ones(d))
+    if not len(x_p) or not n_u:
+        return Model(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0, 0.0, 0.5)
+    mean, scale = _settled(mean), np.where(scale < 1e-9, 1.0, _settled(scale))
+    z_p, z_n = scaled(x_p, mean, scale), scaled(x_n, mean, scale)
+
+    def risk_u(w: np.ndarray):
+        got = u.sums(lambda x: risk_sums(scaled(x, mean, scale), w))
+        return got[1] / got[0], got[2:d + 3] / got[0], got[d + 3:].reshape(d + 1, d + 1) / got[0]
+    if len(x_n):
+        prior = n_p / (n_p + n_n)
+    else:
+        w = minimise(z_p, risk_u, 0.5, l2, False)
+        prior = estimated_prior(z_p @ w, lambda cuts: u.sums(lambda x: ((scaled(x, mean, scale) @ w)[:, None] >= cuts).sum(axis=0).astype(float)) / n_u, n_u)
+    w = _settled(minimise(z_p, risk_u, prior, l2), 8)
+    slope, shift = 1.0, 0.0
+    if len(x_n):
+        g, y = np.concatenate([z_p @ w, z_n @ w]), np.repeat([1.0, 0.0], [len(z_p), len(z_n)])
+        weight = np.repeat([n_p / len(z_p), n_n / len(z_n)], [len(z_p), len(z_n)])
+        for _ in range(200):  # Newton steps of a two-parameter logistic regression
+            p = _sigmoid(slope * g + shift)
+            r, h = weight * (y - p), weight * (p * (1 - p) + 1e-9)
+            a = np.array([[np.sum(h * g * g) + 1.0, np.sum(h * g)], [np.sum(h * g), np.sum(h) + 1e-3]])
+            step = np.linalg.solve(a, np.array([np.sum(r * g) - (slope - 1), np.sum(r)]))
+            slope, shift = slope + np.clip(step[0], -1, 1), shift + np.clip(step[1], -1, 1)
+            if np.abs(step).max() < 1e-8:
+                break
+        if slope <= 0:  # the labels contradict the risk: leave the margin as it is
+            slope, shift = 1.0, 0.0
+    return Model(mean, scale, w[:-1], float(w[-1]), float(slope), float(shift), float(prior))
+
+
+def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, l2: float | None = None, n_p: float | None = None, n_n: float | None = None) -> Model:
+    """``fit_on`` of arrays."""
+    return fit_on(x_p, x_n, Unlabelled(x_u), l2, n_p, n_n)
+
+
+def held_out(id_col: str = "doc_id"):
+    """Rows never learned from: crc32 of the id as text, modulo 5, is 0. A
+    null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+
+
+def in_fold(doc_id: int) -> bool:
+    return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """``(doc_id, x)``, staged: the packed text statistics of every row."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([text_features(t) for t in batch.column(1).to_pylist()], dtype=np.float32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+    return common.stage(common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, x binary"), "pu-features")
+
+
+def train_on(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on staged features and labels. The class shares are those of all
+    labelled training rows. Different rows with a label, by id and features,
+    are a sample by their hash of about ``max_rows`` of each kind."""
+    width = len(text_features(""))
+    marks = (labels.filter("doc_id is not null and quality is not null").filter(~held_out())
+             .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("kind"))
+             .groupBy("doc_id").agg(F.max("kind").alias("kind")))
+    n_kind = {r.kind: r["count"] for r in marks.groupBy("kind").count().collect()}
+    marked = common.stage(rows.join(marks, "doc_id").select("kind", "doc_id", "x").distinct(), "pu-labelled")
+    n_rows = {r.kind: r["count"] for r in marked.groupBy("kind").count().collect()}
+    share = F.when(F.col("kind") == 1, min(1.0, max_rows / max(1, n_rows.get(1, 0)))).otherwise(min(1.0, max_rows / max(1, n_rows.get(0, 0))))
+    got = marked.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id", "x"), F.lit(1 << 30)) / float(1 << 30) < share).select("kind", "x").toArrow()
+    kind, x = got.column("kind").to_numpy(), _unpacked(got.column("x"), width)
+    order = np.lexsort([*x.T, kind])  # the same sums whatever the order of arrival
+    kind, x = kind[order], x[order]
+    # a sampled row stands for as many rows as its kind's share leaves out
+    n_p, n_n = (max(int(np.sum(kind == k)), n_kind.get(k, 0) if np.sum(kind == k) else 0) for k in (1, 0))
+    return fit_on(x[kind == 1], x[kind == 0], UnlabelledRows(rows, width), n_p=n_p, n_n=n_n)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on the labelled training rows among ``docs`` and all of ``docs``."""
+    return train_on(features(docs), labels, max_rows)
+
+
+def score(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30)))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features as the scorer sees them, and a column of ones."""
+    return np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
+
+
+def risk_sums(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over rows: number, loss of taking them for bad, its gradient and
+    its curvature (flat)."""
+    g = z @ w
+    p = _sigmoid(g)
+    return np.concatenate([[len(z), np.logaddexp(0, g).sum()], z.T @ p, ((z * (p * (1 - p))[:, None]).T @ z).reshape(-1)])
+
+
+def _settled(values: np.ndarray, digits: int = 12) -> np.ndarray:
+    """Without the last digits, which depend on the order sums arrive in."""
+    return np.array([float(f"{v:.{digits}g}") for v in values])
+
+
+class Unlabelled:
+    """The unlabelled side of the risk; here of an array of features."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.x = x
+
+    def moments(self) -> tuple[int, np.ndarray, np.ndarray]:
+        return len(self.x), self.x.mean(axis=0), self.x.std(axis=0)
+
+    def sums(self, fn) -> np.ndarray:
+        """Sum over all rows of what ``fn`` gives for some."""
+        return fn(self.x)
+
+
+class UnlabelledRows(Unlabelled):
+    """The same over a table ``(doc_id, x)`` of packed features, by Spark
+    aggregates."""
+
+    def __init__(self, features: DataFrame, width: int) -> None:
+        self.features, self.width = features, width
+
+    def sums(self, fn) -> np.ndarray:
+        width = self.width
+        got = vectors.float_totals(self.features, lambda batch: fn(_unpacked(batch.column(1), width)))
+        return np.array([got[i] for i in range(len(got))])
+
+    def moments(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """Two passes: the second sums squares about the mean."""
+        d = self.width
+        first = self.sums(lambda x: np.append(x.sum(axis=0), len(x)))
+        if not len(first):
+            return 0, np.zeros(d), np.ones(d)
+        mean = first[:d] / first[d]
+        return int(first[d]), mean, np.sqrt(self.sums(lambda x: ((x - mean) ** 2).sum(axis=0)) / first[d])
+
+
+def estimated_prior(g_p: np.ndarray, shares, n_u: int) -> float:
+    """Upper bound of the positive share of the unlabelled rows: the least
+    ratio of their mass to the positives' mass above a score. ``shares(cuts)``
+    gives the share of unlabelled rows at or above each cut."""
+    if not len(g_p) or not n_u:
+        return 0.5
+    cuts = np.quantile(g_p, np.linspace(0.0, 0.9, 46))
+    ratio = [(u + 1 / np.sqrt(n_u)) / max(np.mean(g_p >= c), 1e-9) for c, u in zip(cuts, shares(cuts))]
+    return float(np.clip(min(ratio), 0.02, 0.98))
+
+
+def minimise(z_p: np.ndarray, risk_u, prior: float, l2: float = 1e-3, non_negative: bool = True) -> np.ndarray:
+    """Weights (the last is the bias) of the least PU risk. ``risk_u(w)``: the
+    mean loss of the unlabelled rows, its gradient and curvature."""
+    d = z_p.shape[1]
+    ridge = l2 * np.append(np.ones(d - 1), 0)
+    pull = prior * z_p.mean(axis=0)
+
+    def at(w: np.ndarray):
+        f, grad, hess = risk_u(w)
+        negatives = f - prior * np.logaddexp(0, z_p @ w).mean()
+        return f - pull @ w + ridge @ (w * w) / 2, grad - pull + ridge * w, hess + np.diag(ridge + 1e-9), negatives
+    w = np.zeros(d)
+    value, grad, hess, _ = at(w)
+    for _ in range(MOST_STEPS):
+        step = -np.linalg.solve(hess, grad)
+        for _ in range(12):  # shorter while the risk does not fall, or that of the negatives falls below zero
+            next_value, next_grad, next_hess, negatives = at(w + step)
+            if next_value <= value + 1e-12 and (negatives >= 0 or not non_negative):
+                break
+            step = step / 2
+        else:
+            break
+        gain = value - next_value
+        w, value, grad, hess = w + step, next_value, next_grad, next_hess
+        if gain < 1e-7:
+            break
+    return w
+
+
+def fit_on(x_p: np.ndarray, x_n: np.ndarray, u: Unlabelled, l2: float | None = None, n_p: float | None = None, n_n: float | None = None) -> Model:
     """Fit on features of trusted positives, labelled bad rows (class prior
-    and calibration only) and unlabelled rows. ``n_p`` and ``n_n`` are the
+    and calibration only) and the unlabelled side. ``n_p`` and ``n_n`` are the
     counts that the positives and bad rows were sampled from, if they are
     samples: they give the prior and weigh the rows in the calibration.
-    Without positives or unlabelled rows every score is the prior."""
+    Without positives or unlabelled rows every score is 0.5."""
     n_p, n_n = len(x_p) if n_p is None else n_p, len(x_n) if n_n is None else n_n
-    both = np.vstack([x_p, x_u])
-    d = both.shape[1]
-    if not len(x_p) or not len(x_u):
+    l2 = L2 + L2_ROWS / max(1, len(x_p)) if l2 is None else l2
+    d = x_p.shape[1]
+    n_u, mean, scale = u.moments() if len(x_p) else (0, np.zeros(d), np.ones(d))
+    if not len(x_p) or not n_u:
         return Model(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0, 0.0, 0.5)
-    mean, scale = both.mean(axis=0), both.std(axis=0)
-    scale[scale < 1e-9] = 1.0
-    z_p, z_n, z_u = (np.clip((x - mean) / scale, -8, 8) for x in (x_p, x_n, x_u))
+    mean, scale = _settled(mean), np.where(scale < 1e-9, 1.0, _settled(scale))
+    z_p, z_n = scaled(x_p, mean, scale), scaled(x_n, mean, scale)
+
+    def risk_u(w: np.ndarray):
+        got = u.sums(lambda x: risk_sums(scaled(x, mean, scale), w))
+        return got[1] / got[0], got[2:d + 3] / got[0], got[d + 3:].reshape(d + 1, d + 1) / got[0]
     if len(x_n):
         prior = n_p / (n_p + n_n)
     else:
-        w, b = _minimise(z_p, z_u, 0.5, steps // 2, l2, False)
-        prior = estimated_prior(z_p @ w + b, z_u @ w + b)
-    w, b = _minimise(z_p, z_u, prior, steps, l2, True)
+        w = minimise(z_p, risk_u, 0.5, l2, False)
+        prior = estimated_prior(z_p @ w, lambda cuts: u.sums(lambda x: ((scaled(x, mean, scale) @ w)[:, None] >= cuts).sum(axis=0).astype(float)) / n_u, n_u)
+    w = _settled(minimise(z_p, risk_u, prior, l2), 8)
     slope, shift = 1.0, 0.0
     if len(x_n):
-        g, y = np.concatenate([z_p @ w + b, z_n @ w + b]), np.repeat([1.0, 0.0], [len(z_p), len(z_n)])
+        g, y = np.concatenate([z_p @ w, z_n @ w]), np.repeat([1.0, 0.0], [len(z_p), len(z_n)])
         weight = np.repeat([n_p / len(z_p), n_n / len(z_n)], [len(z_p), len(z_n)])
         for _ in range(200):  # Newton steps of a two-parameter logistic regression
-            p = 1 / (1 + np.exp(-np.clip(slope * g + shift, -30, 30)))
+            p = _sigmoid(slope * g + shift)
             r, h = weight * (y - p), weight * (p * (1 - p) + 1e-9)
             a = np.array([[np.sum(h * g * g) + 1.0, np.sum(h * g)], [np.sum(h * g), np.sum(h) + 1e-3]])
             step = np.linalg.solve(a, np.array([np.sum(r * g) - (slope - 1), np.sum(r)]))
@@ -136,7 +411,12 @@ def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, steps: int = 400, l2:
                 break
         if slope <= 0:  # the labels contradict the risk: leave the margin as it is
             slope, shift = 1.0, 0.0
-    return Model(mean, scale, w, b, float(slope), float(shift), float(prior))
+    return Model(mean, scale, w[:-1], float(w[-1]), float(slope), float(shift), float(prior))
+
+
+def fit(x_p: np.ndarray, x_n: np.ndarray, x_u: np.ndarray, l2: float | None = None, n_p: float | None = None, n_n: float | None = None) -> Model:
+    """``fit_on`` of arrays."""
+    return fit_on(x_p, x_n, Unlabelled(x_u), l2, n_p, n_n)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -204,7 +484,11 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, cut:
     labels every score is 0.5; other columns are ignored, whatever their
     names.
     """
-    rows = docs.select("doc_id", "text")
-    scored = score(rows, train(rows, labels, max_rows))
+    rows = features(docs)
+    model, width = train_on(rows, labels, max_rows), len(text_features(""))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_unpacked(batch.column(1), width)))], names=["doc_id", "score"])
+    scored = common.map_arrow(rows, run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= cut).cast("int").alias("predicted"))

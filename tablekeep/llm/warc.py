@@ -89,11 +89,34 @@ def record_text(rows: DataFrame) -> Column:
     return F.concat(header.cast("binary"), http.cast("binary"), body).cast("string")
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 5000) -> None:
-    """Write the pages as monolithic gzip WARC files under ``path``."""
+#: Bounds of a file's content: this many records, and about this many bytes
+#: (one record may be larger). Readers take a file whole, below 2 GB.
+RECORDS_PER_FILE = 5000
+FILE_BYTES = 400 << 20
+HEADER_BYTES = 4096  # of a record besides its payload, about
+
+
+def size_classes(largest: int, file_bytes: int = FILE_BYTES, records: int = RECORDS_PER_FILE) -> list[tuple[int, int, int]]:
+    """``(from, below, records per file)``: payload sizes in classes so that
+    as many records as a file takes stay within its bytes. The first class is
+    of those of which a full file of records fits."""
+    out, low, high = [], 0, max(1, file_bytes // records - HEADER_BYTES)
+    while True:
+        out.append((low, high, max(1, min(records, file_bytes // (high + HEADER_BYTES)))))
+        if high > largest:
+            return out
+        low, high = high, high * 8
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write the pages as monolithic gzip WARC files under ``path``: files are
+    cut by records and by bytes, pages of similar size together."""
     rows = page_records(pages, min_bytes)
-    (rows.select(record_text(rows).alias("value")).write.option("compression", "gzip").option("lineSep", END)
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for low, below, records in size_classes(largest, file_bytes, records_per_file):
+        part = rows.filter((F.col("payload_bytes") >= low) & (F.col("payload_bytes") < below)) if largest else rows
+        (part.select(record_text(part).alias("value")).write.mode("append").option("compression", "gzip").option("lineSep", END)
+         .option("maxRecordsPerFile", records).text(path))
 
 
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*$", re.I | re.M)

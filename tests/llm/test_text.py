@@ -116,6 +116,65 @@ def test_prior_and_risk():
     assert (model.score(positive) > 0.5).mean() > 0.95 and (model.score(negative) < 0.5).mean() > 0.95
 
 
+def test_risk_gradient_and_curvature_against_differences():
+    rng = np.random.default_rng(6)
+    z_u, w = np.column_stack([rng.normal(size=(300, 3)), np.ones(300)]), rng.normal(size=4)
+    n, f, grad, hess = (x := pu_quality.risk_sums(z_u, w))[0], x[1], x[2:6], x[6:].reshape(4, 4)
+    assert n == 300 and np.isclose(f, sum(np.log1p(np.exp(v)) for v in z_u @ w))
+    for i in range(4):
+        e = np.zeros(4)
+        e[i] = 1e-5
+        up, down = pu_quality.risk_sums(z_u, w + e), pu_quality.risk_sums(z_u, w - e)
+        assert np.isclose((up[1] - down[1]) / 2e-5, grad[i], rtol=1e-6)
+        assert np.allclose((up[2:6] - down[2:6]) / 2e-5, hess[i], rtol=1e-5)
+
+
+def test_least_risk_against_a_plain_descent():
+    rng = np.random.default_rng(8)
+    x_p, x_u = rng.normal(0.5, 1, (400, 2)), np.concatenate([rng.normal(0.5, 1, (600, 2)), rng.normal(-0.5, 1, (400, 2))])
+    z_p, z_u = (np.column_stack([x, np.ones(len(x))]) for x in (x_p, x_u))
+
+    def risk_u(w):
+        got = pu_quality.risk_sums(z_u, w)
+        return got[1] / 1000, got[2:5] / 1000, got[5:].reshape(3, 3) / 1000
+    w = np.zeros(3)
+    for _ in range(20_000):  # the non-negative risk, a small step at a time
+        s_p, s_u = 1 / (1 + np.exp(-z_p @ w)), 1 / (1 + np.exp(-z_u @ w))
+        assert np.logaddexp(0, z_u @ w).mean() - 0.6 * np.logaddexp(0, z_p @ w).mean() > 0
+        grad = -0.6 * (z_p * (1 - s_p)[:, None]).mean(axis=0) + (z_u * s_u[:, None]).mean(axis=0) - 0.6 * (z_p * s_p[:, None]).mean(axis=0)
+        w = w - 0.1 * (grad + 1e-3 * np.append(w[:2], 0))
+    assert np.abs(pu_quality.minimise(z_p, risk_u, 0.6) - w).max() < 1e-3
+
+
+def test_negative_risk_never_falls_below_zero():
+    rng = np.random.default_rng(9)
+    z_p = np.column_stack([rng.normal(3, 0.1, (50, 2)), np.ones(50)])
+    z_u = np.column_stack([rng.normal(3, 0.1, (60, 2)), np.ones(60)])  # all unlabelled rows are good, the prior says less
+    sums = lambda w: (x := pu_quality.risk_sums(z_u, w), (x[1] / 60, x[2:5] / 60, x[5:].reshape(3, 3) / 60))[1]
+    w = pu_quality.minimise(z_p, sums, 0.99)
+    assert sums(w)[0] - 0.99 * np.logaddexp(0, z_p @ w).mean() >= 0
+
+
+def test_sums_over_a_table_equal_sums_of_an_array(spark):
+    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    x = np.array([pu_quality.text_features(r.text) for r in docs.collect()], np.float32).astype(float)
+    rows = pu_quality.UnlabelledRows(pu_quality.features(docs), x.shape[1])
+    n, mean, scale = rows.moments()
+    assert n == len(x) and np.allclose(mean, x.mean(axis=0)) and np.allclose(scale, x.std(axis=0))
+    w = np.linspace(-1, 1, x.shape[1])
+    assert np.allclose(rows.sums(lambda v: pu_quality.risk_sums(v, w)), pu_quality.risk_sums(x, w))
+
+
+def test_many_rows_under_one_labelled_id_are_bounded(spark, monkeypatch):
+    rows = [(5, f"text number {i} of many under one id") for i in range(3000)] + [(i, f"document {i} is here") for i in range(100, 160)]
+    sent = []
+    fit_on = pu_quality.fit_on
+    monkeypatch.setattr(pu_quality, "fit_on", lambda x_p, x_n, *a, **k: sent.append(len(x_p) + len(x_n)) or fit_on(x_p, x_n, *a, **k))
+    labels = labels_of(spark, [(5, 1, 0, "x"), *[(i, i % 2, 0, "x") for i in range(100, 140)]])
+    got = pu_quality.classify(make_docs(spark, rows), labels, max_rows=100).count()
+    assert got == len(rows) and sent[0] <= 300
+
+
 # --- token counts ----------------------------------------------------------
 
 def greedy(word, pieces):
@@ -181,6 +240,16 @@ def test_lm_scores_against_plain_counts(spark, edge, empty):
     assert lm_score.score_documents(empty, marks).count() == 0
 
 
+def test_many_rows_under_one_id_are_spread(spark, monkeypatch):
+    rows = [(5, f"words of text number {i} under one id") for i in range(4000)] + [(i, f"document {i} is alone") for i in range(100, 200)]
+    marks = spark.createDataFrame([(5,), (101,)], "doc_id long")
+    docs = make_docs(spark, rows).repartition(3)
+    want = sorted((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in lm_score.score_documents(docs, marks).collect())
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 8000)
+    got = lm_score.score_documents(docs, marks).collect()
+    assert sorted((r.doc_id, r.n_tokens, round(r.target_loss, 9), round(r.background_loss, 9)) for r in got) == want
+
+
 # --- benchmark decontamination ---------------------------------------------
 
 ITEMS = [(1, "If Anna has 12 apples and Anna gives 5 apples to Tom, how many of the 12 apples does she keep at home today?"),
@@ -213,7 +282,79 @@ def test_items_of_few_words_are_found_verbatim(spark):
     docs = make_docs(spark, [(1, "Some words, and then: " + sums + ". Done"), (2, sums.lower()), (3, sums.replace("21", "22")), (4, None),
                              (5, "Q. What is 17 times 23 minus 5? A. 386"), (6, "What is 17 times 23 minus 6?"), (7, "too short"), (8, "")])
     got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs, items).collect()}
-    assert got == {(1, 1): "verbatim", (2, 1): "verbatim", (5, 2): "verbatim"}
+    assert got == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 1): "reparameterised", (5, 2): "verbatim"}
+
+
+def test_reparameterised_arithmetic_is_found(spark):
+    sums = "Add 12, 15, 18, 21, 24, 27 and 30 then divide by 4"
+    items = spark.createDataFrame([(1, sums), (2, "Numbers 1 2 3 4 5 6 7 8 9 10 11 12 follow")], "item_id long, text string")
+    other = "Add 1, 2, 3, 4, 5, 6 and 7 then divide by 8"
+    docs = make_docs(spark, [(1, "Now. " + other), (2, "Add 5, 5, 5, 5, 5, 5 and 5 then divide by 5"), (3, "Add 1, 2, 3, 4, 5, 6 and 7"),
+                             (4, " ".join(str(i) for i in range(400))), (5, "We add 3, 4, 5, 6, 7, 8 and 9 then stop to rest by 10")])
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.leaks(docs, items).collect()}
+    assert got == {(1, 1): "reparameterised", (2, 1): "reparameterised"}
+
+
+def test_one_altered_value_keeps_the_other_windows(spark):
+    item = ("A train leaves the city at 12 and moves to the north along the coast for many hours while the people in it sleep and read "
+            "until it stops at the last station of the line at 12 in the night")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = make_docs(spark, [(1, item.replace("at 12 in the night", "at 13 in the night")), (2, item.replace("12", "9"))])
+    got = {r.doc_id: (r.kind, r.n_windows) for r in decontam.leaks(docs, items).collect()}
+    # without the 7 and 4 windows that cover the value that is now two
+    assert got[1][0] == "verbatim" and got[1][1] == got[2][1] - 11 and got[2][0] == "reparameterised"
+
+
+def brute_templates(docs, items):
+    """Template leaks of items of words and numbers, written plainly."""
+    import re
+    split = lambda t: re.findall(r"[a-z]+|[0-9]+", t.lower())
+    out = {}
+    for d, text in docs:
+        tokens = split(text)
+        for i, item in items:
+            its = split(item)
+            form = ["#" if x.isdigit() else x for x in its]
+            windows = {p: form[p:p + 8] for p in range(len(its) - 7) if form[p:p + 8].count("#") <= 6}
+            strong = {p for p, w in windows.items() if w.count("#") <= 3}
+            places = set()
+            for shift in range(-len(its), len(tokens)):
+                at = {p for p in windows if p + shift >= 0 and ["#" if x.isdigit() else x for x in tokens[p + shift:p + shift + 8]] == windows[p]}
+                slots = {q for p in at for q in range(p, p + 8) if form[q] == "#"}
+                values = {}
+                for q in slots:
+                    values.setdefault(its[q], set()).add(tokens[q + shift])
+                at = {p for p in at if not any(len(values[its[q]]) > 1 for q in slots if p <= q < p + 8)}
+                if any(p not in strong for p in at) and len({its[q] for p in at for q in range(p, p + 8) if form[q] != "#"}) < 5:
+                    at &= strong
+                places |= at
+            if places and (len(places) >= min(6, len(windows)) or (strong and len(places & strong) >= min(6, len(strong)))):
+                out[d, i] = len(places)
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(17)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    number = lambda: str(rng.randint(2, 60))
+    items = [(i, " ".join(number() if rng.random() < share else rng.choice(words) for _ in range(rng.randint(9, 24))))
+             for i, share in enumerate([0.0, 0.2, 0.35, 0.5, 0.6] * 4)]
+    docs = []
+    for d in range(80):
+        tokens = rng.choice(items)[1].split()
+        cut = rng.randint(0, 4)
+        tokens = tokens[cut:] if rng.random() < 0.3 else tokens
+        swap = {}
+        tokens = [swap.setdefault(x, number()) if x.isdigit() and d % 2 else x for x in tokens]
+        if rng.random() < 0.4:
+            tokens[rng.randrange(len(tokens))] = rng.choice([number(), rng.choice(words)])
+        docs.append((d, " ".join([rng.choice(words) for _ in range(rng.randint(0, 9))] + tokens + [rng.choice(words) for _ in range(5)])))
+    index = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontam.leaks(make_docs(spark, docs), index).collect()}
+    want = brute_templates(docs, items)
+    assert set(want) <= set(got) and len(want) > 40
+    # exact windows add only documents that hold windows of an item with all their values
+    assert all(got[k] >= n for k, n in want.items()) and len(set(got) - set(want)) <= 3
 
 
 def test_leaks_without_broadcast(spark, monkeypatch):
@@ -335,6 +476,22 @@ def test_warc_members_and_index(spark, tmp_path):
     assert {(r.archive, r.offset, r.length) for r in back} == {(r.archive, r.offset, r.length) for r in index}
 
 
+def test_warc_files_are_cut_by_bytes(spark, tmp_path):
+    import gzip
+    rows = [(i, f"http://a/{i}", chr(97 + i % 26) * n + str(i)) for i, n in enumerate([10] * 50 + [30_000] * 20 + [400_000] * 6 + [0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    warc.write_archives(df, f"{tmp_path}/m", records_per_file=20, file_bytes=1 << 20)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "m").glob("*.gz")]
+    assert max(sizes) <= 1 << 20 and sum(sizes) > 3_000_000
+    warc.normalise(spark, f"{tmp_path}/m", f"{tmp_path}/n")
+    back = warc.read_archives(spark, f"{tmp_path}/n/archives").collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in back) == [(i, len(h)) for i, _, h in rows]
+    for largest in (0, 10, 10**6, 10**9):  # every size is in one class, and a class's file holds its bytes
+        classes = warc.size_classes(largest)
+        assert classes[0][0] == 0 and all(a[1] == b[0] for a, b in zip(classes, classes[1:])) and classes[-1][1] > largest
+        assert all(n == 1 or n * high <= warc.FILE_BYTES for _, high, n in classes)
+
+
 def test_warc_empty_and_threshold(spark):
     assert warc.round_trip(pages(spark).limit(0)).count() == 0
     kinds = Counter(r.record_type for r in warc.page_records(pages(spark), min_bytes=100).select(
@@ -356,7 +513,7 @@ def test_broken_archives_are_refused():
 
 def test_registry():
     names = [n for n in entry.queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(PROSE.split()) > 10
 
 
