@@ -189,6 +189,8 @@ def test_similar_is_the_exact_decision():
         pairs.append((" ".join(a), " ".join(b)))
     seen = [(line_dedup.similar(x, y), 5 * levenshtein(x, y) <= max(len(x), len(y))) for x, y in pairs]
     assert all(g == w for g, w in seen) and {g for g, _ in seen} == {True, False}
+    bound = line_dedup._gram_bound(*map(list, zip(*pairs))).tolist()
+    assert all(b or not w for b, (_, w) in zip(bound, seen)) and not all(bound)  # drops none that is similar
 
 
 def test_very_long_lines_are_verified_in_pieces():
