@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import dates, hashing, keys, labels, literals, numbers
 from ..functions.literals import PLAIN10
-from ..operators import chunks, history as hist, retention, verify
+from ..operators import chunks, digest, history as hist, retention, verify
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import catalog, dump, history_store, objects
 from . import derived, reports
@@ -358,6 +358,30 @@ KINDS = {
 KEYS = {t: k for t, (_, k) in KINDS.items()}
 
 
+def sql_digest(texts: str) -> str:
+    """``rows, content`` (see ``operators/digest``) of the texts ``t`` of a sub-select."""
+    sums = ", ".join(f"CAST(coalesce(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR)" for i in range(4))
+    return f"SELECT count(*) AS rows, concat_ws(':', CAST(count(*) AS VARCHAR), {sums}) AS content FROM (SELECT sha256(t) AS h FROM ({texts}) x) y"
+
+
+def sql_tuples(table: str, salt: str = "") -> str:
+    return f"SELECT '{salt}' || {sql_tuple(list(zip(COLUMNS_OF[table], KINDS[table][0].split())))} AS t FROM {table}"
+
+
+#: Rows and digest of the whole database, every row marked with its table.
+SQL_DB_CONTENT = sql_digest(" UNION ALL ".join(sql_tuples(t, t) for t in TABLES))
+
+
+def _contents(spark, listing: DataFrame) -> DataFrame:
+    """``key, rows, content`` of every dump in a listing of a few, from its
+    restored tables: a dump with a wrong, lost or repeated row shows."""
+    out = spark.createDataFrame([], "key string, rows long, content string")
+    for r in listing.select("key", "path").collect():
+        one = digest.database_digest(dump.read_dump(spark, r.path), PLAIN10)
+        out = out.unionByName(one.select(F.lit(r.key).alias("key"), "rows", "content"))
+    return out
+
+
 def _dump_in_key_order(spark, d):
     return dump.dump_lines(_tables(spark, d, TABLES), GENERATED, 1000, KEYS, PLAIN10)
 
@@ -1048,10 +1072,10 @@ def q_object_listing(spark, d):
     _exports(spark, d, root, _TIMES[:1])
     _failing_export(spark, d, root)
     ls = objects.list_objects(spark, f"{root}/store", "b1")
-    return ls.select("bucket", "key", (F.col("size_bytes") > 0).alias("has_bytes"))
+    return ls.join(_contents(spark, ls), "key").select("bucket", "key", (F.col("size_bytes") > 0).alias("has_bytes"), "rows", "content")
 
 
-SQL_OBJECT_LISTING = f"SELECT 'b1' AS bucket, '{_KEYS[0]}' AS key, true AS has_bytes"
+SQL_OBJECT_LISTING = f"SELECT 'b1' AS bucket, '{_KEYS[0]}' AS key, true AS has_bytes, rows, content FROM ({SQL_DB_CONTENT}) c"
 
 
 def q_snapshot_check(spark, d):
@@ -1085,25 +1109,30 @@ def q_retention_apply(spark, d):
     done = apply_retention(spark, listing(), 2, objects.PathDeleter(f"{root}/store"), log, relist=listing)
     checked = spark.read.parquet(f"{log}/checked").withColumn("_one", F.lit(1))
     summary = done.select("deleted_count", "missing_count", "failed_count", F.lit(1).alias("_one"))
-    return checked.join(F.broadcast(summary), "_one").drop("_one")
+    return checked.join(F.broadcast(summary), "_one").drop("_one").join(_contents(spark, listing()), "key", "left")
 
 
 SQL_RETENTION_APPLY = " UNION ALL ".join(
-    f"SELECT 'b1' AS bucket, '{k}' AS key, '{e}' AS expected, {p} AS present, true AS ok, CAST(1 AS BIGINT) AS deleted_count, "
-    "CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS failed_count"
+    f"SELECT CASE WHEN {p} THEN c.rows END AS rows, CASE WHEN {p} THEN c.content END AS content, 'b1' AS bucket, '{k}' AS key, '{e}' AS expected, {p} AS present, true AS ok, CAST(1 AS BIGINT) AS deleted_count, "
+    f"CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS failed_count FROM ({SQL_DB_CONTENT}) c"
     for k, e, p in zip(_KEYS, ("deleted", "kept", "kept"), ("false", "true", "true")))
 
 
 def q_compression_report(spark, d):
+    """Bytes of a dump's text in key order, and whether its files are smaller."""
     _prep(spark)
-    path = _whole_dump(spark, d)
+    path = scratch_path(spark, "dump")
+    dump.write_dump(_tables(spark, d, TABLES), path, GENERATED, 1000, KEYS, PLAIN10)
     text = dump.read_dump_text(spark, path).filter(F.col("file").endswith(".gz")) \
         .agg(F.sum(F.octet_length("value") + 1).alias("text_bytes"))
     gz = objects.file_manifest(spark, path, "*.gz").agg(F.sum("length").alias("gz_bytes"))
     both = text.select(F.col("text_bytes").cast("long"), F.lit(0).cast("long").alias("gz_bytes")) \
         .unionByName(gz.select(F.lit(0).cast("long").alias("text_bytes"), F.col("gz_bytes").cast("long")))
     agg = both.agg(F.sum("text_bytes").alias("text_bytes"), F.sum("gz_bytes").alias("gz_bytes"))
-    return agg.withColumn("ratio", F.round(F.col("gz_bytes") / F.col("text_bytes"), 4))
+    return agg.select("text_bytes", (F.col("gz_bytes") < F.col("text_bytes")).alias("smaller"))
+
+
+SQL_COMPRESSION_REPORT = f"SELECT size_bytes AS text_bytes, true AS smaller FROM ({SQL_DUMP_SIZE}) s"
 
 
 def _job(spark, d, root):
@@ -1113,12 +1142,13 @@ def _job(spark, d, root):
 
 
 def _run_outcome(spark, root, hist_path):
-    """The history entries and whether each entry's object is still listed."""
-    listed = objects.list_objects(spark, f"{root}/store", "b1").select("key", F.lit(True).alias("l"))
+    """The history entries, whether each entry's object is still listed, and
+    the rows and digest of what a listed one restores."""
+    listed = objects.list_objects(spark, f"{root}/store", "b1")
     h = history_store.read_history(spark, hist_path)
-    return h.join(listed, "key", "left").select(
+    return h.join(_contents(spark, listed), "key", "left").select(
         "success", "created_at", "database_name", "backend", "bucket", "key", "message",
-        (F.col("size_bytes") > 0).alias("has_bytes"), F.coalesce("l", F.lit(False)).alias("listed"))
+        (F.col("size_bytes") > 0).alias("has_bytes"), F.col("rows").isNotNull().alias("listed"), "rows", "content")
 
 
 def q_full_run(spark, d):
@@ -1133,7 +1163,8 @@ def q_full_run(spark, d):
 
 def _sql_run(i: int, message: str, listed: bool) -> str:
     return (f"SELECT true AS success, '{_TIMES[i]:%Y-%m-%dT%H:%M:%S}+00:00' AS created_at, 'shop' AS database_name, 'spark' AS backend, "
-            f"'b1' AS bucket, '{_KEYS[i]}' AS key, '{message}' AS message, true AS has_bytes, {str(listed).lower()} AS listed")
+            f"'b1' AS bucket, '{_KEYS[i]}' AS key, '{message}' AS message, true AS has_bytes, {str(listed).lower()} AS listed, "
+            f"CASE WHEN {listed} THEN c.rows END AS rows, CASE WHEN {listed} THEN c.content END AS content FROM ({SQL_DB_CONTENT}) c")
 
 
 SQL_FULL_RUN = " UNION ALL ".join([
@@ -1220,7 +1251,7 @@ REGISTRY: dict[str, tuple] = {
     "object_listing": (q_object_listing, SQL_OBJECT_LISTING),
     "snapshot_check": (q_snapshot_check, SQL_SNAPSHOT_CHECK),
     "retention_apply": (q_retention_apply, SQL_RETENTION_APPLY),
-    "compression_report": (q_compression_report, None),
+    "compression_report": (q_compression_report, SQL_COMPRESSION_REPORT),
     "full_run": (q_full_run, SQL_FULL_RUN),
     "manual_run": (q_manual_run, SQL_MANUAL_RUN),
 }
