@@ -7,7 +7,7 @@ over many buckets. One method at every size:
 
 1. bounds: a row sample of the sort key at a fraction that gives about
    ``buckets * SAMPLE_PER_BUCKET`` rows in all, each task sending only its
-   share; every k-th value is a bound;
+   share and the driver a fixed number at most; every k-th value is a bound;
 2. bucket = binary search in the array of bounds: a pure function of the row,
    so every re-run of a task puts a row in the same bucket (no checkpoint
    needed, no dependence on a shuffle's sampling) and the number of buckets
@@ -26,6 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BUCKET = 64
+#: Bounds of what the driver holds, whatever the number of partitions: bounds
+#: of range buckets, and sampled keys they are taken from.
+MOST_BUCKETS = 8_192
+MOST_SAMPLED = 1 << 17
 _RB = "__rb"
 _LRN = "__lrn"
 _OFF = "__off"
@@ -34,9 +38,9 @@ _KEY = "__key"
 
 
 def _default_buckets(spark) -> int:
-    """As many buckets as shuffle partitions: the setting a cluster sizes to
-    its data volume."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """As many buckets as shuffle partitions, the setting a cluster sizes to
+    its data volume, up to ``MOST_BUCKETS``."""
+    return max(1, min(MOST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _bounds_below(key: Column, bounds: Column, n: int) -> Column:
@@ -63,7 +67,7 @@ def range_bucket(df: DataFrame, sort_cols: list[str], buckets: int, seed: int =
         return df.withColumn(_RB, F.lit(0)), 1
     keyed = df.select(key.alias("k"))
     total = keyed.count()
-    rows = [r[0] for r in keyed.sample(False, min(1.0, buckets * SAMPLE_PER_BUCKET / max(1, total)), seed).sort("k").collect()]
+    rows = [r[0] for r in keyed.sample(False, min(1.0, min(MOST_SAMPLED, buckets * SAMPLE_PER_BUCKET) / max(1, total)), seed).sort("k").collect()]
     step = len(rows) / buckets
     cuts = []
     for i in range(1, buckets):

@@ -166,3 +166,59 @@ def suppress_overlaps_stream(stream: DataFrame, key: str, start: str, id_col: st
     return timed.groupBy(key).applyInPandasWithState(
         _stream_fn(id_col, ttl_seconds * 1_000_000, stream.columns), schema, state_schema,
         "append", GroupStateTimeout.NoTimeout)
+
+
+_BUFFER = "lock long, rows binary"
+
+
+def _ordered_fn(id_col: str, ttl_micros: int, columns: list[str]):
+    """Runs of one key wait until the watermark has passed their start, then
+    are judged in start order; the state goes when nothing waits and no run to
+    come can start under the lock."""
+    def fn(key, batches, state):
+        import pickle
+
+        import pandas as pd
+        lock, waiting = (state.get[0], pickle.loads(state.get[1])) if state.exists else (None, [])
+        now = state.getCurrentWatermarkMs() * 1000
+        for pdf in batches:
+            e = [None if x is None or x != x else int(x) for x in pdf["__e"].tolist()]
+            for t, end, row in zip(pdf["__t"].tolist(), e, pdf[columns].itertuples(index=False, name=None)):
+                if t >= now:  # a run that starts before the watermark is late and is dropped
+                    waiting.append((int(t), row[columns.index(id_col)], end, row))
+        waiting.sort(key=lambda r: r[:2])
+        accepted = []
+        while waiting and waiting[0][0] < now:
+            t, _, end, row = waiting.pop(0)
+            if lock is None or t >= lock:
+                accepted.append(row)
+                lock = max(t + 1, min(t + ttl_micros, end)) if end is not None else t + ttl_micros
+        if lock is not None and lock <= now:
+            lock = None
+        if waiting or lock is not None:
+            state.update((lock, pickle.dumps(waiting)))
+            wake = min([r[0] for r in waiting[:1]] + ([lock] if lock is not None else []))
+            state.setTimeoutTimestamp(max(wake, now) // 1000 + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(accepted, columns=columns) if accepted else pd.DataFrame({c: [] for c in columns})
+    return fn
+
+
+def suppress_overlaps_ordered(stream: DataFrame, key: str, start: str, id_col: str, late: str,
+                              ttl_seconds: int = 1800, end: str | None = None) -> DataFrame:
+    """U1 (stream, event time): the accepted runs of the batch form, for runs
+    that arrive out of order by up to ``late`` (an interval text).
+
+    A key's runs wait in its state until the watermark has passed their start
+    and are then judged in order, so the result does not depend on how runs
+    are dealt to micro-batches. A run that starts before the watermark is late
+    and dropped. An event-time timer wakes a key for its next waiting run and at
+    the end of its lock; then a key with nothing waiting has no state, so the
+    state holds the keys of about the last ``late`` plus ``ttl_seconds`` only.
+    ``start`` must be a timestamp column, not null."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    timed = (stream.withColumn("__t", _micros(start)).withColumn("__e", _micros(end) if end else F.lit(None).cast("long"))
+             .withColumn("__at", F.timestamp_micros(F.col("__t"))).withWatermark("__at", late))
+    return timed.groupBy(key).applyInPandasWithState(
+        _ordered_fn(id_col, ttl_seconds * 1_000_000, stream.columns), stream.schema, _BUFFER, "append", GroupStateTimeout.EventTimeTimeout)
