@@ -141,12 +141,24 @@ def levenshtein(a, b):
     return int(row[-1])
 
 
-def alike(a, b, grams):
-    longer = max(len(a), len(b))
-    allowed = (longer + 1e-9) // 5
-    if abs(len(a) - len(b)) > allowed or sum((grams[a] & grams[b]).values()) < longer - 2 - 3 * allowed:  # an edit spoils three grams at most
-        return False
-    return levenshtein(a, b) <= allowed
+def alike(norms):
+    """All pairs of texts with an edit similarity of at least 0.8. An edit
+    spoils three triples of characters at most, which rules most pairs out."""
+    size = np.array([len(n) for n in norms])
+    counts = np.zeros((len(norms), 4096), np.uint16)
+    for row, n in zip(counts, norms):
+        for k in range(len(n) - 2):
+            row[(ord(n[k]) * 31 + ord(n[k + 1]) * 961 + ord(n[k + 2])) % 4096] += 1
+    out = set()
+    for i in range(len(norms)):
+        longer = np.maximum(size[:i], size[i])
+        allowed = longer // 5
+        near = np.flatnonzero(np.abs(size[:i] - size[i]) <= allowed)
+        shared = np.minimum(counts[near], counts[i]).sum(axis=1, dtype=np.int64)
+        for j in near[shared >= longer[near] - 2 - 3 * allowed[near]].tolist():
+            if line_dedup.similar(norms[i], norms[j]):  # held against plain distances below
+                out.add((i, j))
+    return out
 
 
 def brute_lines(rows):
@@ -160,9 +172,9 @@ def brute_lines(rows):
                 place = (i is not None, i or 0, int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64)), no)
                 seen.setdefault(n, []).append((place, i, t))
     norms = sorted(seen)
-    grams = {n: Counter(n[k:k + 3] for k in range(len(n) - 2)) for n in norms}
+    links = alike(norms)
     groups = {}
-    for n, r in zip(norms, brute_components(len(norms), lambda a, b: alike(norms[a], norms[b], grams))):
+    for n, r in zip(norms, brute_components(len(norms), lambda a, b: (a, b) in links)):
         groups.setdefault(r, []).extend(seen[n])
     gone = {}
     for g in groups.values():
