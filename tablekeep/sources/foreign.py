@@ -36,7 +36,11 @@ from ..functions import ddl
 from ..functions.literals import from_utc_text
 from ..session import scratch_path, ship_package
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 1 << 20
+#: Staged chunks: a row group is checked against its size after every row, since
+#: a chunk is as large as a hundred thousand usual rows.
+_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+LINES = 1_000  # lines of a batch that are Python texts at once
 #: Tables with one row per chunk are broadcast up to this many rows.
 BROADCAST_CHUNKS = 100_000
 
@@ -188,6 +192,12 @@ _CHUNKS = "path string, block long, no long, text string"
 _PIECES = "chunk long, kind string, table_name string, columns array<string>, text string"
 
 
+def _rows(batch: pa.RecordBatch, at_once: int = 1) -> Iterator[tuple]:
+    """The rows of a batch, so many of them as Python values at once."""
+    for s in range(0, batch.num_rows, at_once):
+        yield from zip(*[c.slice(s, at_once).to_pylist() for c in batch.columns])
+
+
 def _chunked(lines: DataFrame, chunk_lines: int | None) -> DataFrame:
     """``(path, block, no, text)`` of runs of lines of one file block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +207,7 @@ def _chunked(lines: DataFrame, chunk_lines: int | None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([where[0]]), pa.array([where[1]], pa.int64()), pa.array([no], pa.int64()),
                                                pa.array(["\n".join(held) + "\n"])], names=["path", "block", "no", "text"])
         for batch in batches:
-            for line, path, block in zip(*[c.to_pylist() for c in batch.columns]):
+            for line, path, block in _rows(batch, LINES):
                 if held and ((path, block) != where or len(held) == chunk_lines or size >= CHUNK_BYTES):
                     yield chunk()
                     no = no + 1 if (path, block) == where else 0
@@ -213,15 +223,17 @@ def _chunked(lines: DataFrame, chunk_lines: int | None) -> DataFrame:
 class ForeignDump:
     """One SQL text. ``path``: a file, a folder or a glob; several files are
     one text in the order of their paths. ``chunk_lines`` bounds the lines of
-    a chunk besides ``CHUNK_BYTES``; it never changes the rows."""
+    a chunk besides ``CHUNK_BYTES``; it never changes the rows. Without
+    ``rows`` the whole text is read, but only its statements are kept."""
 
-    def __init__(self, spark: SparkSession, path: str, chunk_lines: int | None = None, glob: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, chunk_lines: int | None = None, glob: str | None = None, rows: bool = True) -> None:
         ship_package(spark)
         reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
         reader = reader.option("pathGlobFilter", glob) if glob else reader
         lines = reader.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
         self.spark, at = spark, scratch_path(spark, "foreign-chunks")
-        _chunked(lines, chunk_lines).write.parquet(at)  # staged: both passes must see the same chunks
+        _chunked(lines, chunk_lines).write.options(**_GROUPS).parquet(at)  # staged: both passes must see the same chunks
+        self.rows = rows
         self.chunks = spark.read.schema(_CHUNKS).parquet(at)
         self._find_entries()
         self._cut_all()
@@ -233,7 +245,7 @@ class ForeignDump:
             names = ["after", "ended", "depth", "in_values", "relative"]
             kind = pa.list_(pa.struct(list(zip(names, [pa.int32(), pa.bool_(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]))))
             for batch in batches:
-                maps = [[dict(zip(names, m)) for m in chunk_map(t)] for t in batch.column(3).to_pylist()]
+                maps = [[dict(zip(names, m)) for m in chunk_map(t)] for *_, t in _rows(batch)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(maps, kind)], names=["path", "block", "no", "maps"])
         maps = self.chunks.mapInArrow(run, f"path string, block long, no long, maps array<struct<{shape.replace(' ', ':').replace(',:', ',')}>>")
         entry, rows = Entry(), []
@@ -250,17 +262,19 @@ class ForeignDump:
         c, e = self.chunks, self._small(self.entries)
         known = c.join(e, (c.path == e.p) & (c.block == e.b) & (c.no == e.n)).select("chunk", "mode", "depth", "in_values", "text")
 
+        keep = self.rows
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for chunk, mode, depth, in_values, text in zip(*[col.to_pylist() for col in batch.columns]):
+                for chunk, mode, depth, in_values, text in _rows(batch):
                     p, targets = cut(text, Entry(mode, depth, in_values)), {}
                     rows = []
-                    for head, row in p.rows:
+                    for head, row in p.rows if keep else []:
                         if head is not None and head not in targets:
                             targets[head] = insert_target(head)
                         rows.append(("row" if head is not None else "entry row", *(targets.get(head) or (None, None)), row))
                     rows += [("statement", None, None, s) for s in p.statements]
-                    rows += [(k, None, None, v) for k, v in (("tail", p.tail_of), ("begun", p.begun), ("head", p.open_head)) if v is not None]
+                    rows += [(k, None, None, v) for k, v in (("tail", p.tail_of), ("begun", p.begun), ("head", p.open_head)) if v is not None and (keep or k == "head")]
                     rows.append(("ended" if p.entry_ended else "entry", None, None, p.entry_part))
                     cols = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), pa.array(cols[0]), pa.array(cols[1], pa.string()),
@@ -301,6 +315,8 @@ class ForeignDump:
 
     def tuples(self) -> DataFrame:
         """``table_name, columns, text``: every tuple, as written."""
+        if not self.rows:
+            raise ValueError("this text was read without its rows")
         rows = self.pieces.filter("kind = 'row'").select("table_name", "columns", "text")
         ctx = self._small(self.context)
         of_entry = (self.pieces.filter("kind = 'entry row'").select("chunk", "text").join(ctx, F.col("chunk") == F.col("at"))
@@ -381,5 +397,5 @@ def ddl_schema(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     """``table_name, ordinal, name, data_type, column_type, nullable`` of every
     column, from the CREATE TABLE statements of a text alone."""
     rows = [(t.name, i, c.name, c.data_type, c.column_type, c.nullable)
-            for t in ForeignDump(spark, path, glob=glob).definitions().values() for i, c in enumerate(t.columns, 1)]
+            for t in ForeignDump(spark, path, glob=glob, rows=False).definitions().values() for i, c in enumerate(t.columns, 1)]
     return spark.createDataFrame(rows, "table_name string, ordinal int, name string, data_type string, column_type string, nullable boolean")

@@ -132,3 +132,38 @@ def test_types_of_columns():
     assert [c.spark_type().simpleString() for c in t.columns] == [
         "tinyint", "int", "int", "decimal(20,0)", "float", "double", "date", "timestamp_ntz", "boolean", "bigint", "int", "decimal(10,0)", "string", "string",
         "binary", "boolean"]
+
+
+def test_schema_keeps_no_rows_and_chunks_stay_small(spark, tmp_root, monkeypatch):
+    kept = []
+
+    class Watched(foreign.ForeignDump):
+        def _cut_all(self):
+            super()._cut_all()
+            kept.append(self)
+    monkeypatch.setattr(foreign, "ForeignDump", Watched)
+    got = foreign.ddl_schema(spark, write(tmp_root, TEXT)).filter("table_name = 'it`em'").orderBy("ordinal").collect()
+    assert [r.ordinal for r in got] == list(range(1, 8))
+    assert kept[0].pieces.filter("kind in ('row', 'entry row', 'begun', 'tail')").count() == 0
+    with pytest.raises(ValueError, match="without its rows"):
+        kept[0].tuples()
+    # a task stages a chunk at a time, and reads one at a time
+    assert foreign.CHUNK_BYTES <= 1 << 20
+    write(tmp_root, "INSERT INTO t VALUES\n" + ",\n".join(f"({i}, '{i:0500d}')" for i in range(20_000)) + ";\n", "large.sql")
+    text = foreign.ForeignDump(spark, f"{tmp_root}/large.sql")
+    assert text.chunks.count() >= 9 and text.chunks.selectExpr("max(length(text))").first()[0] < 1.01 * (1 << 20)
+
+
+def test_foreign_text_is_written_by_many_tasks(spark, tmp_root):
+    import glob
+
+    from tablekeep.plans.transfer_queries import foreign_text
+    docs = spark.createDataFrame([(i, f"it's; ({i}\n", "en", None, i) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        foreign_text(docs, f"{tmp_root}/text")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(glob.glob(f"{tmp_root}/text/part-*"))
+    assert len(files) > 4 and "CREATE TABLE" in open(files[0]).read()
+    assert sorted(map(tuple, foreign.restore_foreign(spark, f"{tmp_root}/text")["documents"].collect())) == sorted(map(tuple, docs.collect()))
