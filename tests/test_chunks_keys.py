@@ -82,3 +82,16 @@ def test_chunks_of_wide_rows_end_at_a_byte_bound():
         out = [v for b in _chunk_batches(size, "H\n", ";\n", max_bytes=1000)(iter(batches)) for v in b.column(0).to_pylist()]
         assert [t for v in out for t in v[2:-2].split(",\n")] == rows
         assert all(len(v) <= 1100 and v.count("(") <= size for v in out)
+
+
+def test_chunks_leave_in_small_batches():
+    import pyarrow as pa
+
+    from tablekeep.operators.chunks import _chunk_batches
+    rows = [f"({i}, '{'x' * 90}')" for i in range(10_000)]
+    for cuts in ([0, 10_000], [0, 250, 9_990, 10_000]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[s:e])], names=["tuple"]) for s, e in zip(cuts, cuts[1:])]
+        out = list(_chunk_batches(300, "H\n", ";\n", batch_bytes=100_000)(iter(batches)))
+        assert max(b.nbytes for b in out) < 150_000
+        records = [v[2:-2].split(",\n") for b in out for v in b.column(0).to_pylist()]
+        assert [len(r) for r in records] == [300] * 33 + [100] and [t for r in records for t in r] == rows
