@@ -160,3 +160,12 @@ def test_tree_of_equal_empty_and_wholly_different_tables(spark):
     assert len(got) <= 10 and sum(r.source_count for r in got) == 500
     nulls = keyed(spark, [(None, "x")])
     assert [tuple(r) for r in digest.diff_ranges(a.unionByName(nulls), a, "k").collect()] == [(None, None, 1, 0)]
+
+
+def test_tree_hashes_every_row_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(digest, "row_lanes", lambda *a, _f=digest.row_lanes: made.append(1) or _f(*a))
+    a = keyed(spark, [(i, "a") for i in range(5000)])
+    b = keyed(spark, [(i, "b" if i % 1700 == 3 else "a") for i in range(5000)])
+    got = digest.diff_ranges(a, b, "k", leaf_rows=0).collect()
+    assert sorted(r.low for r in got) == [3, 1703, 3403] and len(made) == 2  # one side each, for all levels
