@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -351,3 +352,40 @@ def test_empty_tables(spark, empty):
 def test_nothing_is_broadcast_or_collected_for_components(spark):
     edges = spark.range(2000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
     assert common.components(edges).count() == 4000
+
+
+def test_no_link_within_a_block_is_left_out(spark):
+    """Lines that share blocks are linked whatever their SimHashes, one common
+    block or many, small block or large."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    phrase = "to be read with great care by all who come"
+    found = 0
+    for families in (40,):
+        rows = []
+        for _ in range(families):
+            x = f"{' '.join(word() for _ in range(5))} {phrase} {' '.join(word() for _ in range(5))}"
+            for _ in range(3):
+                y = list(x)
+                for at in rng.sample(range(len(y)), rng.randint(0, len(y) // 6)):
+                    y[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+                rows.append((len(rows), "".join(y)))
+        lines = [plain_line(t) for _, t in rows]
+        prints = line_dedup.fingerprints([z.encode() for z in lines], [len(z) for z in lines])
+        keys = [set(line_dedup._unpack(p[0]).tolist()) for p in prints]
+        linked = lambda i, j: keys[i] & keys[j] and 5 * line_dedup.edit_distance(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))  # noqa: B023, E731
+        root = brute_components(len(rows), linked)
+        got = {r.doc_id for r in line_dedup.dedup_report(make_docs(spark, rows)).filter("n_removed > 0").collect()}
+        assert got == {i for i in range(len(rows)) if root[i] != i}
+        # links that the bits of the SimHashes alone would leave out
+        fps, sizes = np.array([p[1] for p in prints], np.uint64), np.array([len(z) for z in lines])
+        found += sum(bool(linked(i, j)) and line_dedup._bits(fps, sizes, np.array([i]), np.array([j]))[0] > line_dedup.MAX_BITS
+                     for i in range(len(rows)) for j in range(i))
+    assert found > 0
+
+
+def test_a_block_of_variants_gives_as_many_links_as_lines():
+    rows = [(1, 0, 0, 0, i, i, 60, f"{'a common line of many words ' * 2}{i:04d}") for i in range(900)]
+    columns = [pa.array(c) for c in zip(*rows)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "t1", "t2", "tile", "lid", "root", "n", "norm"])
+    assert sum(b.num_rows for b in line_dedup._block_links(iter([batch.slice(0, 500), batch.slice(500)]))) == 899
