@@ -154,14 +154,21 @@ def _write_at_offsets(spark: SparkSession, parts: list[tuple[str, int]], target:
                             f.write(data)
             yield pa.RecordBatch.from_arrays([batch.column(1)], names=["done"])
     ship_package(spark)
-    plan = spark.createDataFrame(rows, "name string, at long").repartition(min(len(rows), 1000))
+    plan = _dealt(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, name string, at long"), min(len(rows), 1000))
     plan.mapInArrow(run, "done long").count()
 
 
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows numbered by ``i`` in so many tasks, as many in each: dealt in turn
+    from where each task happens to begin, some tasks would get several of few
+    long members."""
+    return rows.repartitionById(parts, F.col("i").cast("int")).drop("i")
+
+
 def member_rows(spark: SparkSession, path: str, index: dict) -> DataFrame:
     """``table, offset, bytes`` of the members with rows, spread over tasks."""
-    rows = [(m["table"], m["offset"], m["bytes"]) for m in index["members"] if m["table"]]
-    return spark.createDataFrame(rows, "table string, offset long, bytes long").repartition(max(1, min(len(rows), 10_000)))
+    rows = [(i, m["table"], m["offset"], m["bytes"]) for i, m in enumerate(m for m in index["members"] if m["table"])]
+    return _dealt(spark.createDataFrame(rows, "i long, table string, offset long, bytes long"), max(1, min(len(rows), 10_000)))
 
 
 def inflate_lines(members: DataFrame, path: str) -> DataFrame:
