@@ -37,18 +37,22 @@ def diff_rows(a: DataFrame, b: DataFrame, method: str = "fingerprint",
 
     ``fingerprint``: ``fingerprint, source_count, restore_count`` for every
     fingerprint whose counts differ. ``exceptall``: the differing rows
-    themselves with a ``side`` column."""
+    themselves with a ``side`` column.
+
+    Rows are counted by the 32 bytes of the fingerprint, half of its hex text:
+    with few equal rows a task's partial counts hold a key for every row."""
     if method == "exceptall":
         cols = a.columns
         b = b.select(*cols)
         return (a.exceptAll(b).withColumn("side", F.lit("source_only"))
                 .unionByName(b.exceptAll(a).withColumn("side", F.lit("restore_only"))))
     def side(df: DataFrame, source: int) -> DataFrame:
-        return df.select(row_fingerprint(df, dialect=dialect).alias("fingerprint"),
+        return df.select(F.unhex(row_fingerprint(df, dialect=dialect)).alias("fp"),
                          F.lit(source).cast("long").alias("s"), F.lit(1 - source).cast("long").alias("r"))
     both = side(a, 1).unionByName(side(b, 0))
-    return (both.groupBy("fingerprint").agg(F.sum("s").alias("source_count"), F.sum("r").alias("restore_count"))
-            .filter("source_count <> restore_count"))
+    return (both.groupBy("fp").agg(F.sum("s").alias("source_count"), F.sum("r").alias("restore_count"))
+            .filter("source_count <> restore_count")
+            .select(F.lower(F.hex("fp")).alias("fingerprint"), "source_count", "restore_count"))
 
 
 def diff_summary(a: DataFrame, b: DataFrame, table: str, dialect: Dialect = EXACT) -> DataFrame:
