@@ -323,19 +323,21 @@ def features(docs: DataFrame) -> DataFrame:
     return common.stage(common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, x binary"), "pu-features")
 
 
-def train_on(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def train_on(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, repeats: bool = False) -> Model:
     """Fit on staged features and labels: all different rows with a label, by
     id and features. The class shares are those of all labelled training rows.
-    Beyond ``max_rows`` of a kind the rows stay with the tasks."""
+    Beyond ``max_rows`` of a kind the rows stay with the tasks. With
+    ``repeats`` equal rows count as often as they are there."""
     width = len(text_features(""))
     marks = (labels.filter("doc_id is not null and quality is not null").filter(~held_out())
              .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("kind"))
              .groupBy("doc_id").agg(F.max("kind").alias("kind")))
     n_kind = {r.kind: r["count"] for r in marks.groupBy("kind").count().collect()}
-    marked = common.stage(rows.join(marks, "doc_id").select("kind", "doc_id", "x").distinct(), "pu-labelled")
+    marked = rows.join(marks, "doc_id").select("kind", "doc_id", "x")
+    marked = common.stage(marked if repeats else marked.distinct(), "pu-labelled")
     n_rows = {r.kind: r["count"] for r in marked.groupBy("kind").count().collect()}
     # a class counts as many as it has labels, if rows under them are fewer
-    n_p, n_n = (max(n_rows[k], n_kind.get(k, 0)) if k in n_rows else 0 for k in (1, 0))
+    n_p, n_n = (max(n_rows[k], 0 if repeats else n_kind.get(k, 0)) if k in n_rows else 0 for k in (1, 0))
     unlabelled = UnlabelledRows(rows, width)
     if max(n_rows.values(), default=0) > max_rows:
         none = np.zeros((0, width))
@@ -348,8 +350,9 @@ def train_on(rows: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mo
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on the labelled training rows among ``docs`` and all of ``docs``."""
-    return train_on(features(docs), labels, max_rows)
+    """Fit on the labelled training rows among ``docs`` and all of ``docs``,
+    repeated rows as often as they are there."""
+    return train_on(features(docs), labels, max_rows, repeats=True)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

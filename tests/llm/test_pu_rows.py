@@ -35,3 +35,12 @@ def test_quantiles_of_a_table_equal_those_of_an_array(spark):
     w, shares = rng.normal(size=4), np.linspace(0.0, 0.9, 46)
     assert np.allclose(known.quantiles(w, shares), np.quantile(pu_quality.scaled(x.astype(float), np.zeros(3), np.ones(3)) @ w, shares))
     assert known.sums(1, lambda z: z.sum(axis=0)).shape == (4,) and rows.agg(F.count("*")).first()[0] == 37
+
+
+def test_repeated_rows_count_as_often_as_they_are_there(spark):
+    docs, labels = common.load(spark, SF001, "documents").limit(300), common.load(spark, SF001, "labels")
+    twice = docs.unionByName(docs.filter("doc_id % 3 = 0"))
+    known = labels.filter(~pu_quality.held_out()).join(twice, "doc_id").groupBy("quality").count().collect()
+    count = {r.quality: r["count"] for r in known}
+    for most in (20_000, 5):
+        assert pu_quality.train(twice, labels, max_rows=most).prior == pytest.approx(count[1] / (count[0] + count[1]))
